@@ -4,13 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import bpe
+from palimpsest.llm import bpe, lookalike, neardup
 from palimpsest.session import table
 
+#: Similarity that TESTDATA.md sets for editions.
+EDITION_THRESHOLD = 0.5
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return neardup.edition_pairs(*neardup.class_links(table(spark, sf, "export_editions"), "edition_id", "text_sha256", "body", EDITION_THRESHOLD))
+
+
+def p1_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """One row for each edition: its class of equal phrase sets and the class's number of links at 0.8."""
+    return neardup.classes(*neardup.class_links(table(spark, sf, "export_editions"), "edition_id", "text_sha256", "body", 0.8))
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    editions, titles = table(spark, sf, "export_editions"), table(spark, sf, "official_titles")
+    return lookalike.title_twins(editions, titles).unionByName(lookalike.body_twins(editions, titles))
+
+
+def p5_titles(spark: SparkSession, sf: str) -> DataFrame:
+    """Every edition's title in one consistent form."""
+    return lookalike.normalised_titles(table(spark, sf, "export_editions"), table(spark, sf, "official_titles"))
+
 
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode(table(spark, sf, "documents"))
 
 
-QUERIES = {"p6_ids": p6_ids}
+QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes, "p5_found": p5_found, "p5_titles": p5_titles, "p6_ids": p6_ids}
 SQL: dict[str, str] = {}
