@@ -2,19 +2,24 @@
 
 A document is the set of its five-word phrases. Two sets match if common phrases / phrases of the larger set >= threshold.
 
-1. *Classes.* Documents with equal sets form one class, so groups of copies cost one set. Phrases that many classes share are counted over
-   all documents and put last in the global order (by count, then hash); all others are ordered by hash.
-2. *Index lists.* A matching pair shares a phrase in both prefixes (size - needed + 1 phrases in global order). Prefixes go, packed and
-   bucketed by phrase, to the index lists. In a list, entries are kept in blocks of one set size, ordered by position. A probe skips blocks
-   outside its size window and, in a block, everything after the last position from which enough phrases can follow (index-level skipping).
-   A pair is emitted only at its first common phrase, as far as the first phrases of both sets show it.
+1. *Classes.* Documents with equal sets form one class, so groups of copies cost one set. Sets are written once, packed, to the shared folder.
+   Phrases that several classes share are counted over all documents and put last in the global order (by count, then hash); the rest is
+   ordered by hash.
+2. *Index lists.* The larger set of a matching pair has `needed` common phrases, and the first COUNTED of them lie in both prefixes (size -
+   needed + counted phrases in global order). Prefixes go, packed and bucketed by phrase, to the index lists. In a list, entries are kept in
+   blocks of one set size, ordered by position. A probe skips blocks outside its size window and, in a block, everything after the last
+   position from which enough phrases can follow (index-level skipping). Common phrases in prefixes are summed by pair; pairs with fewer than
+   the counted ones can't match and go no further.
 3. *Answers.* Candidates are verified in groups around their smallest neighbour, so sets of one cluster travel once. A set's overlaps are
    derived from the known ones of a highly similar set by the few phrases in which both differ (answer-level skipping).
 
-Skew: copies collapse before the shuffle (a class goes once from each task); hot phrases are last in the order; groups of many neighbours are
-split in two dimensions into blocks of bounded size. No pairs are lost by any of it; there are no caps.
+Skew: copies collapse before the shuffle (a class goes once from each task); shared phrases are last in the order; groups of many neighbours
+are split in two dimensions into blocks of bounded size. No pairs are lost by any of it; there are no caps.
 
-Broadcast: only hot phrases, at most HOT_SHARE x phrases a document, which is checked.
+Broadcast: at most MOST_HOT shared phrases (the least count is chosen so that they fit), and the groups of sets to verify, if they are at most
+MOST_ROUTES, else they are joined by a shuffle.
+
+Phrases are 40-bit hashes: two sets of a thousand phrases have a false common phrase in one of a million pairs, worth 0.001 of similarity.
 
 Defined cases: null and empty bodies and bodies without words take no part; a body of fewer than five words is one phrase; keys delivered
 twice count once; equal sets with different text hashes match with similarity 1.
@@ -32,15 +37,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.markup import without_markup
-from palimpsest.session import spread, written
+from palimpsest.session import release, spread, written
 
 WORDS = re.compile(r"[^\W_]+")
 PHRASE = 5
-HEAD = 4
-#: A phrase is hot from 1 / HOT_SHARE of all classes on.
-HOT_SHARE = 4_000
-HOT_LEAST = 32
-MOST_HOT = 4_000_000
+BITS = np.uint64((1 << 40) - 1)
+#: Part of the needed phrases that is counted before verification.
+COUNTED = 4
+#: Least count of a shared phrase, and most of them.
+HOT_LEAST = 8
+MOST_HOT = 2_000_000
+MOST_ROUTES = 2_000_000
 POSTINGS_A_BUCKET = 1_500_000
 BLOCK = 2_048
 CHUNK = 3_000_000
@@ -84,7 +91,7 @@ class PhraseSets:
         for i in range(1, m):
             h *= mul
             h += w[i : i + count]
-        h = np.sort(_mix(h + np.uint64(m)))
+        h = np.sort(_mix(h + np.uint64(m)) & BITS)
         if count > 1:
             h = h[np.concatenate(([True], h[1:] != h[:-1]))]
         return h
@@ -104,25 +111,43 @@ def _needed(n: np.ndarray, threshold: Fraction) -> np.ndarray:
     return -(-n.astype(np.int64) * threshold.numerator // threshold.denominator)
 
 
+def counted(need):
+    """How many of the needed phrases both prefixes hold."""
+    return -(-need // COUNTED)
+
+
+def pack(tokens: np.ndarray) -> bytes:
+    """Five bytes a phrase."""
+    return np.ascontiguousarray(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def unpack(blob: bytes) -> np.ndarray:
+    n = len(blob) // 5
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :5] = np.frombuffer(blob, np.uint8).reshape(n, 5)
+    return out.reshape(-1).view("<u8")
+
+
 # 1. classes
 
 
-def _light(df: DataFrame) -> DataFrame:
-    """kind 0: key, sha, class, size of each document; kind 1: phrase and count where a chunk of a partition's classes shares it often."""
+def _features(df: DataFrame) -> DataFrame:
+    """kind 0: key, sha, class, size of each document, and the packed set at a class's first sight in a partition; kind 1: phrase and count
+    where several classes of a partition's chunk share it."""
+    names = ["kind", "a", "b", "n", "sha", "tokens"]
 
     def run(batches):
         sets, seen, held, size = PhraseSets(), set(), [], 0
 
         def often():
             t, c = np.unique(np.concatenate(held), return_counts=True)
-            many = c >= 4
+            many = c >= 2
             t, c = t[many].view(np.int64), c[many]
             z = len(t)
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(z, np.int8)), pa.array(t), pa.array(c.astype(np.int64)), pa.nulls(z, pa.int32()), pa.nulls(z, pa.string())], names)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(z, np.int8)), pa.array(t), pa.array(c.astype(np.int64)), pa.nulls(z, pa.int32()), pa.nulls(z, pa.string()), pa.nulls(z, pa.binary())], names)
 
-        names = ["kind", "a", "b", "n", "sha"]
         for batch in batches:
-            keep, cls, sizes = [], [], []
+            keep, cls, sizes, blobs = [], [], [], []
             for i, body in enumerate(batch.column(2).to_pylist()):
                 t = sets.of(body)
                 if t is None:
@@ -131,20 +156,24 @@ def _light(df: DataFrame) -> DataFrame:
                 keep.append(i)
                 cls.append(c)
                 sizes.append(len(t))
-                if c not in seen:
+                if c in seen:
+                    blobs.append(None)
+                else:
                     seen.add(c)
+                    blobs.append(pack(t))
                     held.append(t)
                     size += len(t)
             keep = pa.array(keep, pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(cls), np.int8)), batch.column(0).take(keep).cast(pa.int64()), pa.array(cls, pa.int64()), pa.array(sizes, pa.int32()), batch.column(1).take(keep)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(cls), np.int8)), batch.column(0).take(keep).cast(pa.int64()), pa.array(cls, pa.int64()), pa.array(sizes, pa.int32()), batch.column(1).take(keep), pa.array(blobs, pa.binary())], names)
             if size > 2 * CHUNK:
                 yield often()
                 held, size = [], 0
-                seen.clear()
+                if len(seen) > KEPT_WORDS:
+                    seen.clear()
         if held:
             yield often()
 
-    return df.mapInArrow(run, "kind byte, a long, b long, n int, sha string")
+    return df.mapInArrow(run, "kind byte, a long, b long, n int, sha string, tokens binary")
 
 
 def _prefix(tokens: np.ndarray, hot: np.ndarray, hot_count: np.ndarray, threshold: Fraction) -> np.ndarray:
@@ -155,64 +184,61 @@ def _prefix(tokens: np.ndarray, hot: np.ndarray, hot_count: np.ndarray, threshol
         if is_hot.any():
             rest, warm, count = tokens[~is_hot], tokens[is_hot], hot_count[at[is_hot]]
             tokens = np.concatenate((rest, warm[np.lexsort((warm, count))]))
-    return tokens[: len(tokens) - needed(len(tokens), threshold) + 1]
+    need = needed(len(tokens), threshold)
+    return tokens[: len(tokens) - need + counted(need)]
 
 
 # 2. index lists
 
 
-def _postings(df: DataFrame, hot: np.ndarray, hot_count: np.ndarray, threshold: Fraction, buckets: int) -> DataFrame:
+def _planes(x: np.ndarray) -> bytes:
+    """Bytes of equal weight side by side: high ones are mostly zero and compress away."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _from_planes(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(4, -1).T).reshape(-1).view("<u4")
+
+
+def _postings(sets: DataFrame, hot: np.ndarray, hot_count: np.ndarray, threshold: Fraction, buckets: int) -> DataFrame:
     """A row for each bucket that a chunk of a partition's classes touches: packed arrays."""
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast((hot, hot_count))
-    names = ["bucket", "cls", "size", "head", "many", "tok", "pos"]
+    shared = sets.sparkSession.sparkContext.broadcast((hot, hot_count))
+    names = ["bucket", "cls", "size", "many", "tok", "pos"]
+    schema = pa.schema([("bucket", pa.int32()), *[(x, pa.binary()) for x in names[1:]]])
 
     def run(batches):
         hot, hot_count = shared.value
-        sets, seen, prefixes, cls, sizes, total = PhraseSets(), set(), [], [], [], 0
+        prefixes, cls, sizes, total = [], [], [], 0
 
         def packed():
             lens = np.fromiter(map(len, prefixes), np.int64, len(prefixes))
             tok = np.concatenate(prefixes)
             doc = np.repeat(np.arange(len(lens)), lens)
-            start = np.repeat(np.cumsum(lens) - lens, lens)
-            pos = np.arange(len(tok)) - start
-            first = np.cumsum(lens) - lens
-            head = np.stack([tok[np.minimum(first + i, len(tok) - 1)] for i in range(HEAD)], 1)
-            head[np.arange(HEAD)[None, :] >= lens[:, None]] = 0
+            pos = np.arange(len(tok)) - np.repeat(np.cumsum(lens) - lens, lens)
             c, s = np.array(cls, np.int64), np.array(sizes, np.uint32)
-            b = ((tok >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+            b = (_mix(tok) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(b, kind="stable")  # by document, then position, within a bucket
-            b, doc, pos, tok = b[order], doc[order], pos[order], tok[order].astype(np.uint32)
+            b, doc, pos, tok = b[order], doc[order], pos[order], tok[order]
             cuts = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
             rows = {k: [] for k in names}
             for lo, hi in zip(cuts, [*cuts[1:], len(b)], strict=True):
-                d = doc[lo:hi]
+                d, p = doc[lo:hi], pos[lo:hi]
                 new = np.concatenate(([True], d[1:] != d[:-1]))
-                mine = d[new]
-                at = np.flatnonzero(new)
-                p = pos[lo:hi]
+                mine, at = d[new], np.flatnonzero(new)
                 step = p.copy()
                 step[1:] -= p[:-1]
                 step[at] = p[at]
                 rows["bucket"].append(int(b[lo]))
                 rows["cls"].append(c[mine].tobytes())
-                rows["size"].append(s[mine].tobytes())
-                rows["head"].append(head[mine].tobytes())
-                rows["many"].append(np.diff(np.append(at, hi - lo)).astype(np.uint32).tobytes())
-                rows["tok"].append(tok[lo:hi].tobytes())
-                rows["pos"].append(step.astype(np.uint16 if step.max() < 65536 else np.uint32).tobytes())
-            return pa.RecordBatch.from_pydict(rows, schema=pa.schema([("bucket", pa.int32()), *[(x, pa.binary()) for x in names[1:]]]))
+                rows["size"].append(_planes(s[mine]))
+                rows["many"].append(_planes(np.diff(np.append(at, hi - lo))))
+                rows["tok"].append(tok[lo:hi].astype("<u4").tobytes())
+                rows["pos"].append(_planes(step))
+            return pa.RecordBatch.from_pydict(rows, schema=schema)
 
         for batch in batches:
-            for body in batch.column(0).to_pylist():
-                t = sets.of(body)
-                if t is None:
-                    continue
-                c = class_of(t)
-                if c in seen:
-                    continue
-                seen.add(c)
+            for c, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                t = unpack(blob)
                 p = _prefix(t, hot, hot_count, threshold)
                 prefixes.append(p)
                 cls.append(c)
@@ -221,11 +247,10 @@ def _postings(df: DataFrame, hot: np.ndarray, hot_count: np.ndarray, threshold:
             if total > CHUNK:
                 yield packed()
                 prefixes, cls, sizes, total = [], [], [], 0
-                seen.clear()
         if prefixes:
             yield packed()
 
-    return df.select("body").mapInArrow(run, "bucket int, cls binary, size binary, head binary, many binary, tok binary, pos binary")
+    return sets.mapInArrow(run, "bucket int, cls binary, size binary, many binary, tok binary, pos binary")
 
 
 def _spans(count: np.ndarray, most: int = 2_000_000):
@@ -246,37 +271,45 @@ def _expand(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return row, start[row] + inner
 
 
-def list_pairs(tok: np.ndarray, doc: np.ndarray, pos: np.ndarray, size: np.ndarray, head: np.ndarray, threshold: Fraction) -> np.ndarray:
-    """Candidate pairs (codes of two document indices) of one bucket's index lists; `size` and `head` by document."""
+def list_pairs(tok: np.ndarray, doc: np.ndarray, pos: np.ndarray, size: np.ndarray, threshold: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of document indices (codes lower * documents + higher) of one bucket's index lists and their numbers of common phrases."""
     order = np.lexsort((pos, size[doc], tok))
     tok, doc, pos = tok[order], doc[order], pos[order]
-    s = size[doc].astype(np.int64)
-    new_list = np.concatenate(([True], tok[1:] != tok[:-1]))
+    new_list = np.concatenate(([True], tok[1:] != tok[:-1])) if len(tok) else np.zeros(0, bool)
     listed = np.cumsum(new_list) - 1
-    alone = np.bincount(listed)[listed] < 2
-    tok, doc, pos, s = tok[~alone], doc[~alone], pos[~alone].astype(np.int64), s[~alone]
+    several = np.bincount(listed)[listed] > 1 if len(tok) else new_list
+    tok, doc, pos = tok[several], doc[several], pos[several].astype(np.int64)
+    none = np.zeros(0, np.int64)
     if not len(tok):
-        return np.zeros(0, np.int64)
+        return none, none
+    s = size[doc].astype(np.int64)
     new_block = np.concatenate(([True], (tok[1:] != tok[:-1]) | (s[1:] != s[:-1])))
     start = np.flatnonzero(new_block)
     end = np.append(start[1:], len(tok))
     block = np.cumsum(new_block) - 1
     btok, bsize = tok[start], s[start]
+    bneed = _needed(bsize, threshold)
     place = block * (1 << 40) + pos  # ascending: blocks, then positions
-    found = []
+    found, held = [], 0
+    codes: list[np.ndarray] = []
+
+    def fold() -> None:
+        nonlocal held
+        if codes:
+            u, c = np.unique(np.concatenate(codes), return_counts=True)
+            found.append((u, c))
+            codes.clear()
+            held = 0
 
     def keep(i: np.ndarray, j: np.ndarray) -> None:
+        nonlocal held
         a, b = doc[i], doc[j]
-        # an earlier common phrase among the first ones of both: the pair comes out there
-        ha, hb = head[a], head[b]
-        before_a, before_b = np.arange(HEAD) < pos[i][:, None], np.arange(HEAD) < pos[j][:, None]
-        earlier = np.zeros(len(a), bool)
-        for x in range(HEAD):
-            for y in range(HEAD):
-                earlier |= (ha[:, x] == hb[:, y]) & before_a[:, x] & before_b[:, y]
-        a, b = a[~earlier], b[~earlier]
         lo, hi = np.minimum(a, b), np.maximum(a, b)
-        found.append(np.unique((lo * len(size) + hi)[lo != hi]))
+        code = (lo * len(size) + hi)[lo != hi]
+        codes.append(code)
+        held += len(code)
+        if held > 4_000_000:
+            fold()
 
     # within a block: equal sizes, the prefix alone bounds the position
     later = end[block] - np.arange(len(tok)) - 1
@@ -286,11 +319,11 @@ def list_pairs(tok: np.ndarray, doc: np.ndarray, pos: np.ndarray, size: np.ndarr
     # between blocks of one list: smaller sizes inside the window
     for d in range(1, len(start)):
         small, large = np.arange(len(start) - d), np.arange(d, len(start))
-        ok = (btok[small] == btok[large]) & (bsize[small] >= _needed(bsize[large], threshold))
+        ok = (btok[small] == btok[large]) & (bsize[small] >= bneed[large])
         small, large = small[ok], large[ok]
         if not len(small):
             break
-        limit = bsize[small] - _needed(bsize[large], threshold)
+        limit = bsize[small] - bneed[large] + counted(bneed[large]) - 1
         stop = np.searchsorted(place, small * (1 << 40) + limit, side="right")  # the block's rest is skipped
         many = np.maximum(stop - start[small], 0)
         width = end[large] - start[large]
@@ -300,18 +333,21 @@ def list_pairs(tok: np.ndarray, doc: np.ndarray, pos: np.ndarray, size: np.ndarr
             row, i = _expand(start[small[part]], many[part])
             row2, j = _expand(start[large[part]][row], width[part][row])
             keep(i[row2], j)
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    fold()
+    if not found:
+        return none, none
+    if len(found) == 1:
+        return found[0]
+    u, inverse = np.unique(np.concatenate([x for x, _ in found]), return_inverse=True)
+    return u, np.bincount(inverse, np.concatenate([c for _, c in found])).astype(np.int64)
 
 
 def _candidates(postings: DataFrame, threshold: Fraction) -> DataFrame:
     def run(t: pa.Table) -> pa.Table:
-        cols = {x: t.column(x).to_pylist() for x in ("cls", "size", "head", "many", "tok", "pos")}
+        cols = {x: t.column(x).to_pylist() for x in ("cls", "size", "many", "tok", "pos")}
         cls = np.concatenate([np.frombuffer(x, np.int64) for x in cols["cls"]])
-        size = np.concatenate([np.frombuffer(x, np.uint32) for x in cols["size"]])
-        head = np.concatenate([np.frombuffer(x, np.uint64).reshape(-1, HEAD) for x in cols["head"]])
-        many = np.concatenate([np.frombuffer(x, np.uint32) for x in cols["many"]]).astype(np.int64)
-        tok = np.concatenate([np.frombuffer(x, np.uint32) for x in cols["tok"]])
-        step = np.concatenate([np.frombuffer(p, np.uint16 if len(p) * 2 == len(x) else np.uint32).astype(np.int64) for p, x in zip(cols["pos"], cols["tok"], strict=True)])
+        size, many, step = (np.concatenate([_from_planes(x) for x in cols[c]]).astype(np.int64) for c in ("size", "many", "pos"))
+        tok = np.concatenate([np.frombuffer(x, "<u4") for x in cols["tok"]])
         # one copy of each class
         known, first = np.unique(cls, return_index=True)
         keep = np.zeros(len(cls), bool)
@@ -322,51 +358,19 @@ def _candidates(postings: DataFrame, threshold: Fraction) -> DataFrame:
         pos = total - np.repeat(total[begin] - step[begin], many)
         use = keep[row]
         doc = np.searchsorted(known, cls)[row[use]]
-        pairs = list_pairs(tok[use], doc, pos[use], size[first].astype(np.int64), head[first], threshold)
+        size = size[first]
+        pairs, count = list_pairs(tok[use], doc, pos[use], size, threshold)
         a, b = pairs // len(known), pairs % len(known)
-        return pa.table({"a": known[a], "b": known[b]})
+        least = counted(_needed(np.maximum(size[a], size[b]), threshold))
+        return pa.table({"a": known[a], "b": known[b], "c": pa.array(count.astype(np.int32)), "least": pa.array(least.astype(np.int32))})
 
-    return postings.groupBy("bucket").applyInArrow(run, "a long, b long").distinct()
+    found = postings.groupBy("bucket").applyInArrow(run, "a long, b long, c int, least int")
+    return found.groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("least").alias("least")).where("c >= least").select("a", "b")
 
 
 # 3. answers
 
 
-def _sets(df: DataFrame) -> DataFrame:
-    """`cls`, `tokens`: each partition's distinct sets, lower 40 bits of the hashes in byte planes."""
-
-    def run(batches):
-        sets, seen = PhraseSets(), set()
-        for batch in batches:
-            cls, blobs = [], []
-            for body in batch.column(0).to_pylist():
-                t = sets.of(body)
-                if t is None:
-                    continue
-                c = class_of(t)
-                if c not in seen:
-                    seen.add(c)
-                    cls.append(c)
-                    blobs.append(pack(t))
-            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(blobs, pa.binary())], ["cls", "tokens"])
-            if len(seen) > KEPT_WORDS:
-                seen.clear()
-
-    return df.select("body").mapInArrow(run, "cls long, tokens binary")
-
-
-def pack(tokens: np.ndarray) -> bytes:
-    """Five bytes a phrase: two sets of a thousand phrases collide once in a million pairs, by one phrase."""
-    return np.ascontiguousarray(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
-
-
-def unpack(blob: bytes) -> np.ndarray:
-    n = len(blob) // 5
-    out = np.zeros((n, 8), np.uint8)
-    out[:, :5] = np.frombuffer(blob, np.uint8).reshape(n, 5)
-    return np.sort(out.reshape(-1).view("<u8"))
-
-
 def common(x: np.ndarray, y: np.ndarray) -> int:
     """Common values of two sorted sets; the smaller one is looked up."""
     if len(x) > len(y):
@@ -403,18 +407,24 @@ def overlaps(pairs: list[tuple[int, int]], sets: dict[int, np.ndarray]) -> list[
     return [known[a][b] for a, b in pairs]
 
 
-def _verified(cand: DataFrame, sets: DataFrame, threshold: Fraction, groups: int) -> DataFrame:
-    """`a`, `b`, `similarity` of the class pairs that match."""
-    both = cand.select("a", "b").unionByName(cand.select(F.col("b").alias("a"), F.col("a").alias("b")))
+def _blocks(cand: DataFrame, groups: int) -> DataFrame:
+    """The candidates with the block in which they are verified: around the smallest neighbour of either, split where there are many."""
+    both = cand.unionByName(cand.select(F.col("b").alias("a"), F.col("a").alias("b")))
     lead = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("lead"))
     la, lb = lead.withColumnsRenamed({"a": "a_", "lead": "la"}), lead.withColumnsRenamed({"a": "b_", "lead": "lb"})
     pairs = cand.join(la, F.col("a") == F.col("a_")).join(lb, F.col("b") == F.col("b_")).select("a", "b", F.least("la", "lb").alias("g"))
-    # a group of many sets is split in two dimensions
     size = pairs.groupBy("g").count().select(F.col("g").alias("g_"), F.ceil(F.sqrt(F.col("count") / F.lit(8.0 * BLOCK))).cast("int").alias("k"))
-    pairs = pairs.join(size, F.col("g") == F.col("g_")).select("a", "b", F.xxhash64("g", F.pmod(F.xxhash64("a"), F.col("k")), F.pmod(F.xxhash64("b"), F.col("k"))).alias("block"))
-    pairs = pairs.select("a", "b", "block", F.pmod(F.col("block"), F.lit(groups)).cast("int").alias("p"))
+    pairs = pairs.join(size, F.col("g") == F.col("g_"))
+    pairs = pairs.select("a", "b", F.xxhash64("g", F.pmod(F.xxhash64("a"), F.col("k")), F.pmod(F.xxhash64("b"), F.col("k"))).alias("block"))
+    return pairs.select("a", "b", "block", F.pmod(F.col("block"), F.lit(groups)).cast("int").alias("p"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
+    """`a`, `b`, `similarity` of the class pairs that match. `pairs`: as from `_blocks`; `sets`: `cls`, `tokens`."""
     route = pairs.select("a", "p").unionByName(pairs.select(F.col("b").alias("a"), "p")).distinct()
-    sent = route.join(sets, F.col("a") == F.col("cls")).select("p", "a", F.lit(None).cast("long").alias("b"), F.lit(0).cast("long").alias("block"), "tokens")
+    if route.limit(MOST_ROUTES + 1).count() <= MOST_ROUTES:
+        route = F.broadcast(route)
+    sent = sets.join(route, F.col("a") == F.col("cls")).select("p", "a", F.lit(None).cast("long").alias("b"), F.lit(0).cast("long").alias("block"), "tokens")
     rows = sent.unionByName(pairs.select("p", "a", "b", "block", F.lit(None).cast("binary").alias("tokens")))
 
     def run(t: pa.Table) -> pa.Table:
@@ -446,21 +456,29 @@ def class_links(df: DataFrame, key: str, sha: str, body: str, threshold: float =
     spark = df.sparkSession
     exact = Fraction(str(threshold))
     src = spread(df.select(F.col(key).cast("long").alias("key"), F.col(sha).cast("string").alias("sha"), F.col(body).alias("body")))
-    light = written(_light(src), "neardup-classes")
+    light = written(_features(src), "neardup-sets")
     members = light.where("kind = 0").select(F.col("a").alias("key"), F.coalesce("sha", F.lit("")).alias("sha"), F.col("b").alias("cls"), "n").where("key IS NOT NULL").dropDuplicates(["key"])
-    total = light.where("kind = 0").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    least = max(HOT_LEAST, total[0] // HOT_SHARE)
-    hot = light.where("kind = 1").groupBy(F.col("a").alias("tok")).agg(F.sum("b").alias("c")).where(F.col("c") >= least)
-    found = hot.limit(MOST_HOT + 1).collect()
-    if len(found) > MOST_HOT:
-        raise ValueError("too many hot phrases")
-    t = np.array([r.tok for r in found], np.int64).view(np.uint64)
-    c = np.array([r.c for r in found], np.int64)
+    total = light.where("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = light.where("kind = 1").groupBy(F.col("a").alias("tok")).agg(F.sum("b").alias("c")).where(F.col("c") >= HOT_LEAST)
+    # the least count at which the shared phrases fit into a broadcast; large counts by powers of two
+    size = F.when(F.col("c") < 64, F.col("c")).otherwise(F.pow(F.lit(2.0), F.floor(F.log2(F.col("c").cast("double")))).cast("long"))
+    least, n = HOT_LEAST, 0
+    for r in sorted(hot.groupBy(size.alias("size")).agg(F.count("*").alias("n")).collect(), reverse=True):
+        n += r.n
+        if n > MOST_HOT:
+            least = r.size + 1 if r.size < 64 else 2 * r.size
+            break
+    found = hot.where(F.col("c") >= least).toArrow()
+    t, c = (found.column(x).to_numpy() for x in ("tok", "c"))
     order = np.argsort(t)
+    t, c = t[order].view(np.uint64), c[order]
     cores = spark.sparkContext.defaultParallelism
-    buckets = int(max(2 * cores, total[1] * (1 - float(exact)) // POSTINGS_A_BUCKET + 1))
-    cand = written(_candidates(_postings(src, t[order], c[order], exact, buckets), exact), "neardup-candidates")
-    links = _verified(cand, _sets(src), exact, max(2 * cores, int(total[1] // (2 * POSTINGS_A_BUCKET)) + 1))
+    buckets = int(max(2 * cores, total * (1 - 0.75 * float(exact)) // POSTINGS_A_BUCKET + 1))
+    sets = light.where("tokens IS NOT NULL").select(F.col("b").alias("cls"), "tokens")
+    cand = written(_candidates(_postings(sets, t, c, exact, buckets), exact), "neardup-candidates")
+    release(spark)
+    pairs = written(_blocks(cand, max(2 * cores, int(total // (2 * POSTINGS_A_BUCKET)) + 1)), "neardup-blocks")
+    links = _verified(pairs, sets, exact)
     return members, links
 
 
