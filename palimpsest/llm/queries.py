@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, lookalike, neardup
+from palimpsest.llm import bpe, lookalike, mixing, neardup, subjects
 from palimpsest.session import table
 
 #: Similarity that TESTDATA.md sets for editions.
@@ -34,5 +35,33 @@ def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode(table(spark, sf, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes, "p5_found": p5_found, "p5_titles": p5_titles, "p6_ids": p6_ids}
+def p6_lengths(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens of every document."""
+    return bpe.token_counts(table(spark, sf, "documents"))
+
+
+def p7_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents of the mixture with their uses."""
+    return mixing.mix(mixing.counted(table(spark, sf, "documents")), table(spark, sf, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """The share that each source reached."""
+    return mixing.shares(mixing.counted(table(spark, sf, "documents")), table(spark, sf, "mix_targets"))
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return subjects.subjects(table(spark, sf, "documents"), table(spark, sf, "subject_samples"))
+
+
+def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """How much of the corpus deals with each subject: documents and their mean share of sentences."""
+    found = subjects.subject_shares(table(spark, sf, "documents"), table(spark, sf, "subject_samples"))
+    return found.groupBy("subject").agg(F.count("*").alias("documents"), F.avg("share").alias("mean_share"))
+
+
+QUERIES = {
+    "p1_found": p1_found, "p1_classes": p1_classes, "p5_found": p5_found, "p5_titles": p5_titles, "p6_ids": p6_ids, "p6_lengths": p6_lengths,
+    "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_shares": p8_shares,
+}
 SQL: dict[str, str] = {}
