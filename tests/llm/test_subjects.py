@@ -61,8 +61,10 @@ def test_planted(spark):
 
 def test_held_out(spark, sf):
     """Examples that the fit hasn't seen are recognised, the better with a round over the corpus."""
-    rows = sorted((x.sample_id, x.subject, x.text) for x in table(spark, sf, "subject_samples").collect())
-    train, held = [x for x in rows if x[0] % 4], [x for x in rows if not x[0] % 4]
+    by_kind: dict = {}
+    for x in sorted(table(spark, sf, "subject_samples").collect()):  # ids are dealt to languages in turn: hold out within each
+        by_kind.setdefault((x.subject, x.lang), []).append((x.sample_id, x.subject, x.text))
+    train, held = [x for g in by_kind.values() for i, x in enumerate(g) if i % 4], [x for g in by_kind.values() for x in g[::4]]
 
     def right(m):
         w = S.mixtures([S.sentence_weights(t, m.columns)[0] for _, _, t in held], m.h)
@@ -72,4 +74,4 @@ def test_held_out(spark, sf):
     alone = right(m)
     src = table(spark, sf.replace("sf0.001", "sf0.01"), "documents").selectExpr("doc_id AS k", "text AS t")
     after = right(S.extended(m, S.word_counts(src, m)))
-    assert alone >= 0.85 and after >= 0.93 and after >= alone, (alone, after)
+    assert alone >= 0.97 and after >= 0.97 and after >= alone, (alone, after)
