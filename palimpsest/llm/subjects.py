@@ -2,9 +2,10 @@
 
 Rows of the matrix are documents, columns words. Each sentence spreads a weight of one over its telling words, so that a row sums to the
 document's sentences; a sentence without telling words weighs on one column of its own. Components are anchored: one for each subject, and
-BACKGROUND shared ones. They are fitted by seeded alternating multiplicative updates (Kullback-Leibler) on the labelled examples, whose
-mixtures may hold only their own subject and the background (zeros stay zero). All documents are then factored with these components, so
-that a row's mixture is the document's mixture of subjects by sentences.
+one background that all share. They are fitted by seeded alternating multiplicative updates (Kullback-Leibler) on the labelled examples,
+pooled to a row for each subject, whose mixture may hold only its own component and the background (zeros stay zero). With a row for each
+example the background could take whole languages of a subject. All documents are then factored with these components, so that a row's
+mixture is the document's mixture of subjects by sentences.
 
 The fit sees at most MOST_SAMPLES labelled rows (by smallest hash). A further round over all documents then updates the components: sentences
 that the examples' words place are counted by word and subject, partition by partition, and words that the whole corpus keeps to one subject
@@ -33,8 +34,7 @@ from palimpsest.llm.lookalike import PLAIN, by_table
 from palimpsest.session import once, spread
 
 MOST_SAMPLES = 20_000
-BACKGROUND = 4
-ROUNDS, FOLD_ROUNDS = 60, 12
+ROUNDS, FOLD_ROUNDS = 200, 12
 SEED = 20_240_517
 SHARE = 0.25
 #: A word is telling if its subject components hold at least this part of it, and one subject this part of those.
@@ -76,7 +76,7 @@ class Model:
 
 def update(v: np.ndarray, w: np.ndarray, h: np.ndarray, fixed_h: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """One round of alternating multiplicative updates for the Kullback-Leibler divergence; zeros stay zero."""
-    tiny = np.float32(1e-12)
+    tiny = 1e-12
     w = w * ((v / (w @ h + tiny)) @ h.T) / (h.sum(1) + tiny)
     if not fixed_h:
         h = h * (w.T @ (v / (w @ h + tiny))) / (w.sum(0)[:, None] + tiny)
@@ -91,16 +91,17 @@ def fit(samples: list[tuple[str, str]], rounds: int = ROUNDS) -> Model:
     if not subjects or not vocabulary:
         return Model([], {}, np.zeros((0, 1)))
     at = {w: i for i, w in enumerate(vocabulary)}
-    v = np.zeros((len(texts), len(vocabulary)), np.float32)
-    for i, t in enumerate(texts):
+    n = len(subjects)
+    v, seen = np.zeros((n, len(vocabulary))), np.zeros(len(vocabulary))
+    for (subject, _), t in zip(samples, texts, strict=True):
         for s in t:
             for w in set(s):
-                v[i, at[w]] += 1
-    k = len(subjects) + BACKGROUND
+                v[subjects.index(subject), at[w]] += 1
+        for w in {w for s in t for w in s}:
+            seen[at[w]] += 1
     rng = np.random.default_rng(SEED)
-    w, h = rng.uniform(0.5, 1.5, (len(texts), k)).astype(np.float32), rng.uniform(0.5, 1.5, (k, len(vocabulary))).astype(np.float32)
-    mine = np.array([subjects.index(s) for s, _ in samples])
-    w[:, : len(subjects)] *= np.arange(len(subjects))[None, :] == mine[:, None]
+    w, h = rng.uniform(0.5, 1.5, (n, n + 1)), rng.uniform(0.5, 1.5, (n + 1, len(vocabulary)))
+    w[:, :n] *= np.eye(n)
     for _ in range(rounds):
         w, h = update(v, w, h)
         scale = h.sum(1, keepdims=True) + 1e-12
@@ -109,7 +110,7 @@ def fit(samples: list[tuple[str, str]], rounds: int = ROUNDS) -> Model:
     part = mass / (mass.sum(0) + 1e-12)
     own = part[: len(subjects)]
     # evidence in single examples counts little: a word seen once or twice may be anything
-    telling = (own.sum(0) >= TELLING) & (own.max(0) >= TELLING * own.sum(0)) & ((v > 0).sum(0) >= 3)
+    telling = (own.sum(0) >= TELLING) & (own.max(0) >= TELLING * own.sum(0)) & (seen >= 3)
     keep = np.flatnonzero(telling)
     columns = {vocabulary[j]: i for i, j in enumerate(keep)}
     # the components over telling words, and one for sentences without any
