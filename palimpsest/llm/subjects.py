@@ -37,7 +37,7 @@ MOST_SAMPLES = 20_000
 ROUNDS, FOLD_ROUNDS = 200, 12
 SEED = 20_240_517
 SHARE = 0.25
-#: A word is telling if its subject components hold at least this part of it, and one subject this part of those.
+#: A word is telling if its subject components hold at least this part of it, and one subject this part of those and of its sentences.
 TELLING = 0.6
 #: Least sentences of known subject for a word that the corpus makes telling, and the least part of them that one subject must have.
 SENTENCES, PURE, SPREAD = 20, 0.75, 0.5
@@ -110,7 +110,7 @@ def fit(samples: list[tuple[str, str]], rounds: int = ROUNDS) -> Model:
     part = mass / (mass.sum(0) + 1e-12)
     own = part[: len(subjects)]
     # evidence in single examples counts little: a word seen once or twice may be anything
-    telling = (own.sum(0) >= TELLING) & (own.max(0) >= TELLING * own.sum(0)) & (seen >= 3)
+    telling = (own.sum(0) >= TELLING) & (own.max(0) >= TELLING * own.sum(0)) & (v.max(0) >= TELLING * v.sum(0)) & (seen >= 3)
     keep = np.flatnonzero(telling)
     columns = {vocabulary[j]: i for i, j in enumerate(keep)}
     # the components over telling words, and one for sentences without any

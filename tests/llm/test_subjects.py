@@ -14,7 +14,7 @@ def sentence(r, subject=None):
 
 
 def samples(spark, r):
-    rows = [(i, s, "en", " ".join([sentence(r, s) for _ in range(5)] + [sentence(r)])) for i, s in enumerate(sorted(NOUNS) * 12)]
+    rows = [(i, s, "en", " ".join([sentence(r, s) for _ in range(5)] + [sentence(r) for _ in range(4)])) for i, s in enumerate(sorted(NOUNS) * 12)]
     return spark.createDataFrame(rows, "sample_id long, subject string, lang string, text string")
 
 
