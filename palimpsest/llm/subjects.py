@@ -12,7 +12,7 @@ that the examples' words place are counted by word and subject, partition by par
 become telling, while words that it spreads over several lose it. Everything but the fit covers all documents and whole texts. The model,
 at most MOST_WORDS words by some twenty components, is the only thing broadcast.
 
-Sentences end with . ! ? or their counterparts; headings, greetings, numbering and speaker marks don't and join no sentence of their own.
+Sentences end with . ! ? or their counterparts. Headings, numbering, greetings and speaker marks are no sentences of their own.
 
 Defined cases: null, empty and blank texts, and texts without sentences, have no subject; keys delivered twice count once; without examples
 no document has a subject; equal shares all count.
@@ -45,26 +45,55 @@ SENTENCES, PURE, SPREAD = 20, 0.75, 0.5
 KNOWN = 0.3
 MOST_WORDS = 200_000
 
-END = re.compile(r"(?<=[.!?。！？؟।…])[\"'”’»“‘)\]]*\s+|(?<=[。！？])")
-CLOSED = re.compile(r"[.!?。！？؟।…][\"'”’»“‘)\]]*\s*$")
+CLOSED = re.compile(r"[.!?。！？؟।…][\"'”’»“‘)\]]*$")
 WORD = re.compile(r"[^\W\d_]+(?:[-’'][^\W\d_]+)*")
-#: Marks at the start of a line that belong to no sentence: numbering, bullets, speakers, headings, quotation marks of mails.
-LINE_MARK = re.compile(r"^[ \t]*(?:(?:[-*•–>]|\d+(?:\.\d+)*[.)]?|\(?[a-zA-Z0-9]{1,2}[.)]|[A-ZÀ-Þ]{1,3}:)[ \t]+)*", re.M)
-OFF_LINE = re.compile(r"^[ \t]*(?:#.*|.*,|[^\n]*:)[ \t]*$\n?", re.M)
+HEADING = re.compile(r"^[ \t]*#.*$", re.M)
+KEPT_TOKENS = 500_000
 
 
-def sentences(text: str) -> list[str]:
-    """Sentences of a text; what stands between them (headings, greetings, marks) is left out."""
+def tokens_of(text: str) -> list[str]:
+    """What stands between blanks; headings are left out, entities decoded, look-alike characters brought to one form."""
     t = unescape(text) if "&" in text else text
     if PLAIN.search(t):
         t = by_table(t)
-    t = t.replace("\r\n", "\n").replace("\r", "\n")
-    t = LINE_MARK.sub("", t)
-    return [s for s in END.split(t) if s and CLOSED.search(s) and len(WORD.findall(s, 0, 400)) >= 2]
+    return (HEADING.sub("", t) if "#" in t else t).split()
 
 
-def words(sentence: str) -> list[str]:
-    return WORD.findall(sentence.lower())
+def words(token: str) -> list[str]:
+    return WORD.findall(token.lower())
+
+
+class Tokens(dict):
+    """token -> (columns of its telling words, whether it ends a sentence), or None if neither."""
+
+    def __init__(self, columns: dict[str, int]):
+        self.columns = columns
+
+    def __missing__(self, token: str):
+        if len(self) >= KEPT_TOKENS:
+            self.clear()
+        cols = tuple(c for c in map(self.columns.get, words(token)) if c is not None)
+        end = CLOSED.search(token) is not None
+        v = self[token] = (cols, end) if cols or end else None
+        return v
+
+
+def sentences(tokens: list[str], known: Tokens) -> list[tuple[int, int, list[int]]]:
+    """(start, end, columns of telling words) of each sentence. One token alone (numbering, a mark) is none, nor is an end without a stop."""
+    out, last, hits = [], 0, []
+    for i, e in enumerate(map(known.__getitem__, tokens)):
+        if e is not None:
+            hits.extend(e[0])
+            if e[1]:
+                if i > last:
+                    out.append((last, i + 1, hits))
+                last, hits = i + 1, []
+    return out
+
+
+def sentence_words(text: str | None) -> list[list[str]]:
+    tokens = tokens_of(text) if text else []
+    return [[w for t in tokens[a:b] for w in words(t)] for a, b, _ in sentences(tokens, Tokens({}))]
 
 
 class Model:
@@ -86,7 +115,7 @@ def update(v: np.ndarray, w: np.ndarray, h: np.ndarray, fixed_h: bool = False) -
 def fit(samples: list[tuple[str, str]], rounds: int = ROUNDS) -> Model:
     """`samples`: (subject, text)."""
     subjects = sorted({s for s, _ in samples})
-    texts = [[words(x) for x in sentences(t)] for _, t in samples]
+    texts = [sentence_words(t) for _, t in samples]
     vocabulary = sorted({w for t in texts for s in t for w in s})
     if not subjects or not vocabulary:
         return Model([], {}, np.zeros((0, 1)))
@@ -121,21 +150,19 @@ def fit(samples: list[tuple[str, str]], rounds: int = ROUNDS) -> Model:
     return Model(subjects, columns, small)
 
 
-def sentence_weights(text: str | None, columns: dict[str, int]) -> tuple[dict[int, float], int]:
+def sentence_weights(text: str | None, known: Tokens) -> tuple[dict[int, float], int]:
     """The document's row of the matrix and its number of sentences."""
     row: dict[int, float] = {}
-    n, none = 0, len(columns)
-    get = columns.get
-    for s in sentences(text) if text else ():
-        n += 1
-        hits = [c for c in map(get, words(s)) if c is not None]
+    none = len(known.columns)
+    found = sentences(tokens_of(text), known) if text else []
+    for _, _, hits in found:
         if hits:
             x = 1 / len(hits)
             for c in hits:
                 row[c] = row.get(c, 0.0) + x
         else:
             row[none] = row.get(none, 0.0) + 1
-    return row, n
+    return row, len(found)
 
 
 def mixtures(rows: list[dict[int, float]], h: np.ndarray, rounds: int = FOLD_ROUNDS) -> np.ndarray:
@@ -156,29 +183,51 @@ def mixtures(rows: list[dict[int, float]], h: np.ndarray, rounds: int = FOLD_ROU
     return w
 
 
-def placed(texts, m: Model):
-    """(subject, words) for each piece of evidence in the texts' sentences; -1: no known subject.
+def count_placed(texts, known: Tokens, best: list[int], plain: list[Counter], told: list[Counter]) -> None:
+    """Counts the tokens of each sentence under its subject (the last counter: none known), telling words by column apart.
 
     A sentence's subject is the one of its telling words, if all but a fifth of them have it. A telling word is judged by the other telling
     words of its sentence alone, or it would bear witness for itself.
     """
-    get = m.columns.get
-    best = m.h[:-1, :-1].argmax(0).tolist() if len(m.columns) else []
     for t in texts:
-        for s in sentences(t) if t else ():
-            ws = words(s)
-            hits = [(w, best[c]) for w in ws if (c := get(w)) is not None]
+        if not t:
+            continue
+        tokens = tokens_of(t)
+        for a, b, hits in sentences(tokens, known):
             if not hits:
-                yield -1, ws
+                plain[-1].update(tokens[a:b])
                 continue
-            told = {w for w, _ in hits}
-            found = [k for _, k in hits]
-            one = max(set(found), key=found.count)
-            yield (one if found.count(one) >= 0.8 * len(found) else -1), [w for w in ws if w not in told]
-            if len(told) > 1:
-                for w in told:
-                    others = {k for x, k in hits if x != w}
-                    yield (others.pop() if len(others) == 1 else -1), (w,)
+            columns = set(hits)
+            kinds = {best[c] for c in columns}
+            if len(kinds) == 1:
+                one = best[hits[0]]
+                if len(columns) > 1:
+                    told[one].update(columns)
+            else:
+                found = [best[c] for c in hits]
+                one = max(sorted(kinds), key=found.count)
+                one = one if found.count(one) >= 0.8 * len(found) else -1
+                for c in columns:
+                    others = {best[x] for x in columns if x != c}
+                    told[others.pop() if len(others) == 1 else -1][c] += 1
+            plain[one].update(tokens[a:b])
+
+
+def counts_by_word(known: Tokens, plain: list[Counter], told: list[Counter]) -> dict[str, list[int]]:
+    """word -> counts by subject; empties the counters."""
+    names = list(known.columns)
+    rows: dict[str, list[int]] = {}
+    for i, c in enumerate(plain):
+        for token, n in c.items():
+            for w in words(token):
+                if w not in known.columns:
+                    rows.setdefault(w, [0] * len(plain))[i] += n
+        c.clear()
+    for i, c in enumerate(told):
+        for column, n in c.items():
+            rows.setdefault(names[column], [0] * len(plain))[i] += n
+        c.clear()
+    return rows
 
 
 def extended(m: Model, counts: dict[str, np.ndarray]) -> Model:
@@ -216,20 +265,16 @@ def word_counts(src: DataFrame, m: Model) -> dict[str, np.ndarray]:
 
     def run(batches):
         m = shared.value
-        counters = [Counter() for _ in range(k + 1)]
+        known, best = Tokens(m.columns), m.h[:-1, :-1].argmax(0).tolist()
+        plain, told = [Counter() for _ in range(k + 1)], [Counter() for _ in range(k + 1)]
 
         def table():
-            rows: dict[str, list[int]] = {}
-            for i, c in enumerate(counters):
-                for w, n in c.items():
-                    rows.setdefault(w, [0] * (k + 1))[i] += n
-                c.clear()
+            rows = counts_by_word(known, plain, told)
             return pa.RecordBatch.from_arrays([pa.array(rows.keys(), pa.string()), *[pa.array(x, pa.int64()) for x in (zip(*rows.values(), strict=True) if rows else [[]] * (k + 1))]], ["word", *names])
 
         for b in batches:
-            for i, ws in placed(b.column(1).to_pylist(), m):
-                counters[i].update(ws)
-            if sum(map(len, counters)) > 500_000:
+            count_placed(b.column(1).to_pylist(), known, best, plain, told)
+            if sum(map(len, plain)) > 500_000:
                 yield table()
         yield table()
 
@@ -253,10 +298,11 @@ def subject_shares(docs: DataFrame, samples: DataFrame, key: str = "doc_id", tex
 
     def run(batches):
         m = shared.value
+        known = Tokens(m.columns)
         for b in batches:
             ids, found, share = [], [], []
             if m.subjects:
-                rows, counts = zip(*(sentence_weights(t, m.columns) for t in b.column(1).to_pylist()), strict=True) if b.num_rows else ((), ())
+                rows, counts = zip(*(sentence_weights(t, known) for t in b.column(1).to_pylist()), strict=True) if b.num_rows else ((), ())
                 w = mixtures(list(rows), m.h)
                 part = w[:, :-1] / np.maximum(np.array(counts, np.float32)[:, None], 1)
                 i, j = np.nonzero(part >= least)
