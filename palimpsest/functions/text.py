@@ -23,12 +23,15 @@ def collapsed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[\s\p{Z}]+", " "))
 
 
-@F.pandas_udf("string")
-def decoded(text: pd.Series) -> pd.Series:
-    """HTML entities decoded; unknown ones are kept."""
+def _decoded(text: pd.Series) -> pd.Series:
     return text.map(unescape, na_action="ignore")
 
 
+def decoded(text: Column) -> Column:
+    """HTML entities decoded; unknown ones are kept."""
+    return F.pandas_udf(_decoded, "string")(text)
+
+
 def visible_text(html: Column) -> Column:
     """Text that a reader sees, with white space collapsed; '' for null."""
     return F.coalesce(collapsed(decoded(without_markup(html))), F.lit(""))
