@@ -280,7 +280,11 @@ def word_counts(src: DataFrame, m: Model) -> dict[str, np.ndarray]:
 
     counted = src.mapInArrow(run, "word string, " + ", ".join(f"{n} long" for n in names)).groupBy("word").agg(*[F.sum(n).alias(n) for n in names])
     known = sum(F.col(n) for n in names[:-1])
-    rows = counted.where((F.length("word") <= 64) & (known >= SENTENCES)).orderBy(known.desc(), "word").limit(MOST_WORDS).collect()
+    # only what can change the model comes to the driver: its own words, and words that one subject keeps
+    own = src.sparkSession.createDataFrame([(w,) for w in m.columns] or [("",)], "own string")
+    kept = (F.greatest(*names[:-1], F.lit(0)) >= PURE * known) & (known >= KNOWN * (known + F.col(names[-1])))
+    counted = counted.where((F.length("word") <= 64) & (known >= SENTENCES)).join(F.broadcast(own), F.col("word") == F.col("own"), "left").where(kept | F.col("own").isNotNull()).drop("own")
+    rows = counted.orderBy(known.desc(), "word").limit(MOST_WORDS).collect()
     return {r[0]: np.array(r[1:], np.float64) for r in rows}
 
 
