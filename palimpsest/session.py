@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 #: Most keys that are sent to every executor when rows delivered twice are taken apart.
 BROADCAST_KEYS = 50_000
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,11 +39,20 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder, read again: a cut in the lineage whose columns can be pruned."""
+    """The rows as a Parquet table in the shared folder, read again: a cut in the lineage whose columns can be pruned.
+
+    Nothing else uses the shuffles of the write, so their files are dropped when it ends; else they would lie on the disks until the driver
+    happens to collect its garbage.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    schema, before = df.schema, spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.schema(schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
