@@ -149,13 +149,13 @@ def unique_match_only(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("J-19", """
-WITH a AS (SELECT o_custkey AS k, sum(o_totalprice) AS ours FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1), b AS (SELECT o_custkey AS k, sum(o_totalprice) AS theirs FROM orders WHERE o_orderkey % 2 = 1 GROUP BY 1)
+WITH a AS (SELECT o_custkey AS k, sum(o_totalprice) AS ours FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), b AS (SELECT o_custkey AS k, sum(o_totalprice) AS theirs FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1)
 SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NULL THEN 'only_ours' WHEN a.k IS NULL THEN 'only_theirs' WHEN abs(ours - theirs) > 50000 THEN 'differs' ELSE 'same' END AS state FROM a FULL JOIN b ON a.k = b.k""")
 def full_outer_listing_diff(spark: SparkSession, sf: str) -> DataFrame:
-    """Two listings made of the even and the odd orders (all of them)."""
+    """Two listings, of the finished and of the other orders, side by side."""
     o = table(spark, sf, "orders")
-    half = lambda r, n: o.where(F.col("o_orderkey") % 2 == r).groupBy(F.col("o_custkey").alias("k")).agg(F.sum("o_totalprice").alias(n))
-    return R.listing_diff(half(0, "v"), half(1, "v"), "k", "v", 50000).select("k", "state")
+    half = lambda r, n: o.where((F.col("o_orderstatus") == "F") == r).groupBy(F.col("o_custkey").alias("k")).agg(F.sum("o_totalprice").alias(n))
+    return R.listing_diff(half(True, "v"), half(False, "v"), "k", "v", 50000).select("k", "state")
 
 
 @query("J-08", """

@@ -210,3 +210,13 @@ def test_search(spark):
     assert m(hard=["prison"], soft=["latest"]) == ["Prison latest notes"]
     assert m(hard=["prison"], soft=["unheard"]) == ["Prison latest notes", "prisoners"]
     assert m(soft=["unheard"]) == []
+
+
+def test_figures_and_quotes():
+    from palimpsest.operators import numbers as M
+
+    assert M.as_digits("three hundred and forty-two people, one of 1,234 and one million, twenty one") == "342 people, one of 1234 and 1 million, 21"
+    assert M.as_digits("someone nineteen hundred 1,23") == "someone 19 hundred 1,23"
+    text = "aa quote here bb ... cc quote here dd"
+    assert M.locate(text, "quote here", "cc ", " dd", 0) == text.rindex("quote")
+    assert M.locate(text, "quote here", "", "", 0) == 3 and M.locate(text, "none", "", "", 0) == -1
