@@ -45,7 +45,7 @@ BITS = np.uint64((1 << 40) - 1)
 #: Part of the needed phrases that is counted before verification.
 COUNTED = 4
 #: Least count of a shared phrase, and most of them.
-HOT_LEAST = 8
+HOT_LEAST = 6
 MOST_HOT = 2_000_000
 MOST_ROUTES = 2_000_000
 POSTINGS_A_BUCKET = 1_500_000
@@ -132,20 +132,11 @@ def unpack(blob: bytes) -> np.ndarray:
 
 
 def _features(df: DataFrame) -> DataFrame:
-    """kind 0: key, sha, class, size of each document, and the packed set at a class's first sight in a partition; kind 1: phrase and count
-    where several classes of a partition's chunk share it."""
-    names = ["kind", "a", "b", "n", "sha", "tokens"]
+    """Key, sha, class, size of each document, and the packed set at a class's first sight in a partition."""
+    names = ["key", "sha", "cls", "n", "tokens"]
 
     def run(batches):
-        sets, seen, held, size = PhraseSets(), set(), [], 0
-
-        def often():
-            t, c = np.unique(np.concatenate(held), return_counts=True)
-            many = c >= 2
-            t, c = t[many].view(np.int64), c[many]
-            z = len(t)
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(z, np.int8)), pa.array(t), pa.array(c.astype(np.int64)), pa.nulls(z, pa.int32()), pa.nulls(z, pa.string()), pa.nulls(z, pa.binary())], names)
-
+        sets, seen = PhraseSets(), set()
         for batch in batches:
             keep, cls, sizes, blobs = [], [], [], []
             for i, body in enumerate(batch.column(2).to_pylist()):
@@ -156,24 +147,38 @@ def _features(df: DataFrame) -> DataFrame:
                 keep.append(i)
                 cls.append(c)
                 sizes.append(len(t))
-                if c in seen:
-                    blobs.append(None)
-                else:
-                    seen.add(c)
-                    blobs.append(pack(t))
-                    held.append(t)
-                    size += len(t)
+                blobs.append(None if c in seen else pack(t))
+                seen.add(c)
+            if len(seen) > KEPT_WORDS:
+                seen.clear()
             keep = pa.array(keep, pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(cls), np.int8)), batch.column(0).take(keep).cast(pa.int64()), pa.array(cls, pa.int64()), pa.array(sizes, pa.int32()), batch.column(1).take(keep), pa.array(blobs, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), pa.array(cls, pa.int64()), pa.array(sizes, pa.int32()), pa.array(blobs, pa.binary())], names)
+
+    return df.mapInArrow(run, "key long, sha string, cls long, n int, tokens binary")
+
+
+def _shared_phrases(sets: DataFrame) -> DataFrame:
+    """`tok`, `c`: phrases by the number of classes that have them, as far as several classes of one chunk do."""
+
+    def run(batches):
+        held, size = [], 0
+
+        def several():
+            t, c = np.unique(np.concatenate(held), return_counts=True)
+            many = c > 1
+            return pa.RecordBatch.from_arrays([pa.array(t[many].view(np.int64)), pa.array(c[many].astype(np.int64))], ["tok", "c"])
+
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                held.append(unpack(blob))
+                size += len(held[-1])
             if size > 2 * CHUNK:
-                yield often()
+                yield several()
                 held, size = [], 0
-                if len(seen) > KEPT_WORDS:
-                    seen.clear()
         if held:
-            yield often()
+            yield several()
 
-    return df.mapInArrow(run, "kind byte, a long, b long, n int, sha string, tokens binary")
+    return sets.select("tokens").mapInArrow(run, "tok long, c long").groupBy("tok").agg(F.sum("c").alias("c")).where(F.col("c") >= HOT_LEAST)
 
 
 def _prefix(tokens: np.ndarray, hot: np.ndarray, hot_count: np.ndarray, threshold: Fraction) -> np.ndarray:
@@ -457,9 +462,10 @@ def class_links(df: DataFrame, key: str, sha: str, body: str, threshold: float =
     exact = Fraction(str(threshold))
     src = spread(df.select(F.col(key).cast("long").alias("key"), F.col(sha).cast("string").alias("sha"), F.col(body).alias("body")))
     light = written(_features(src), "neardup-sets")
-    members = light.where("kind = 0").select(F.col("a").alias("key"), F.coalesce("sha", F.lit("")).alias("sha"), F.col("b").alias("cls"), "n").where("key IS NOT NULL").dropDuplicates(["key"])
-    total = light.where("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot = light.where("kind = 1").groupBy(F.col("a").alias("tok")).agg(F.sum("b").alias("c")).where(F.col("c") >= HOT_LEAST)
+    members = light.select("key", F.coalesce("sha", F.lit("")).alias("sha"), "cls", "n").where("key IS NOT NULL").dropDuplicates(["key"])
+    total = light.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    sets = light.where("tokens IS NOT NULL").select("cls", "tokens")
+    hot = written(_shared_phrases(sets), "neardup-shared")
     # the least count at which the shared phrases fit into a broadcast; large counts by powers of two
     size = F.when(F.col("c") < 64, F.col("c")).otherwise(F.pow(F.lit(2.0), F.floor(F.log2(F.col("c").cast("double")))).cast("long"))
     least, n = HOT_LEAST, 0
@@ -473,8 +479,7 @@ def class_links(df: DataFrame, key: str, sha: str, body: str, threshold: float =
     order = np.argsort(t)
     t, c = t[order].view(np.uint64), c[order]
     cores = spark.sparkContext.defaultParallelism
-    buckets = int(max(2 * cores, total * (1 - 0.75 * float(exact)) // POSTINGS_A_BUCKET + 1))
-    sets = light.where("tokens IS NOT NULL").select(F.col("b").alias("cls"), "tokens")
+    buckets = int(max(cores, total * (1 - 0.75 * float(exact)) // POSTINGS_A_BUCKET + 1))
     cand = written(_candidates(_postings(sets, t, c, exact, buckets), exact), "neardup-candidates")
     release(spark)
     pairs = written(_blocks(cand, max(2 * cores, int(total // (2 * POSTINGS_A_BUCKET)) + 1)), "neardup-blocks")
