@@ -32,7 +32,7 @@ def periods(df: DataFrame, entity: str, at: Column, received: Column, attributes
     attr = [f"a{i}" for i in range(len(names))]
     # one row for each entity and time: partial maxima are merged before the shuffle
     src = src.groupBy("k", "at").agg(F.max(F.struct("rec", *attr)).alias("m")).select("k", "at", *[F.col(f"m.{a}").alias(a) for a in attr])
-    n = partitions or spark.sparkContext.defaultParallelism
+    n = partitions or max(spark.sparkContext.defaultParallelism, df.count() // ROWS_A_PARTITION + 1)
     ordered = checkpoint(src.repartitionByRange(n, "k", "at").sortWithinPartitions("k", "at").withColumn("p", F.spark_partition_id()))
     kinds = {f.name: f.dataType.simpleString() for f in ordered.schema.fields}
 

@@ -26,17 +26,19 @@ def read_documents(spark: SparkSession, path: str, schema: str | StructType) ->
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+def _parsed(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    how = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__damaged"}
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    return lines.select("value", F.from_json("value", f"{schema}, __damaged string", how).alias("r"))
+
+
 def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines; damaged lines are skipped, the rest is kept."""
-    df = spark.read.schema(f"{schema}, __damaged string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__damaged").json(path)
-    return df.where("__damaged IS NULL").drop("__damaged")
+    return _parsed(spark, path, schema).where("r.__damaged IS NULL").select("r.*").drop("__damaged")
 
 
 def damaged_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    df = spark.read.schema(f"{schema}, __damaged string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__damaged").json(path)
-    # Spark refuses to read the column of damaged lines alone, so the first field is read beside it
-    first = [f for f in df.columns if f != "__damaged"][0]
-    return df.select(first, "__damaged").withColumn("line", F.when(F.col(first).isNull() | F.lit(True), F.col("__damaged"))).where("line IS NOT NULL").select("line")
+    return _parsed(spark, path, schema).where("r.__damaged IS NOT NULL").select(F.col("value").alias("line"))
 
 
 def read_bodies(spark: SparkSession, path: str) -> DataFrame:
