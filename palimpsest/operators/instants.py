@@ -175,24 +175,35 @@ def intervals(df: DataFrame) -> DataFrame:
     return spark.createDataFrame(rows, "__zone string, __in int, __cuts array<struct<lo: bigint, hi: bigint, off: bigint, abbr: string>>")
 
 
-def stamp_cases(df: DataFrame, field: str, key: str, sources: DataFrame) -> DataFrame:
-    """`field`, `row_id`, `utc_us` of every value of `field` that denotes an instant and is not yet written yyyy-MM-ddTHH:mm:ssZ.
+def stamps(df: DataFrame, field: str, key: str) -> DataFrame:
+    """`field`, `row_id`, `stamp`, `provider` of the values that are stated and not yet written yyyy-MM-ddTHH:mm:ssZ."""
+    rows = df.select(F.lit(field).alias("field"), F.col(key).cast("long").alias("row_id"), F.col(field).alias("stamp"), "provider")
+    return rows.where(F.col("stamp").isNotNull() & ~F.col("stamp").rlike(EXACT))
+
+
+def resolved_stamps(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """`field`, `row_id`, `utc_us` of every stamp that denotes an instant.
 
     `sources`: provider, zone, day_first; one row a provider (of several the first by zone), broadcast only as far as Spark finds it small.
     """
     src = sources.groupBy("provider").agg(F.min(F.struct("zone", "day_first")).alias("s")).select(F.col("provider").alias("__p"), F.col("s.zone").alias("__zn"), F.col("s.day_first").alias("__first"))
-    rows = df.select(F.col(key).alias("row_id"), F.col(field).alias("stamp"), "provider").where(F.col("stamp").isNotNull() & ~F.col("stamp").rlike(EXACT))
     rows = rows.join(src, rows["provider"] == src["__p"], "left").withColumnsRenamed({"__zn": "zn", "__first": "first"})
     found = with_instant(rows, "stamp", F.col("zn"), F.col("first"))
-    return found.where("utc_us is not null").select(F.lit(field).alias("field"), "row_id", "utc_us").dropDuplicates(["field", "row_id"])
+    return found.where("utc_us is not null").select("field", "row_id", "utc_us").dropDuplicates(["field", "row_id"])
+
+
+def stamp_cases(df: DataFrame, field: str, key: str, sources: DataFrame) -> DataFrame:
+    """As `resolved_stamps`, of one column of one table."""
+    return resolved_stamps(stamps(df, field, key), sources)
 
 
 FIELDS = (("export_editions", "public_updated_at", "edition_id"), ("captures", "captured_at", "capture_id"), ("repository_downloads", "downloaded_at", "download_id"))
 
 
 def all_stamp_cases(tables: dict[str, DataFrame], sources: DataFrame) -> DataFrame:
+    """All fields in one plan: the writings are compiled and the zones looked up once."""
     out = None
     for name, field, key in FIELDS:
-        found = stamp_cases(tables[name], field, key, sources)
+        found = stamps(tables[name], field, key)
         out = found if out is None else out.unionByName(found)
-    return out
+    return resolved_stamps(out, sources)
