@@ -90,3 +90,11 @@ def difference_sizes(spark: SparkSession, sf: str) -> DataFrame:
 def heading_alignment(spark: SparkSession, sf: str) -> DataFrame:
     """Headings of an edition found again, in order, in the edition before."""
     return edition_pairs(spark, sf).select("edition_id", A.heading_changes(F.col("before"), F.col("body")).alias("h")).select("edition_id", "h.*")
+
+
+@query("CMP-09 CMP-12 M-25")
+def changed_passages(spark: SparkSession, sf: str) -> DataFrame:
+    """Changed blocks adjudicated: moved (their words stand elsewhere in the other edition) or real; in the opening or later."""
+    d = A.changed_passages(edition_pairs(spark, sf), "edition_id", "before", "body")
+    verdict = F.when(F.col("moved"), "moved").when(F.col("words") == 0, "markup").otherwise("real")
+    return d.groupBy("kind", verdict.alias("verdict"), "opening").agg(F.count("*").alias("blocks"), F.sum("words").alias("words"))

@@ -168,6 +168,22 @@ def test_alignment():
     assert A.block_rows(old, old) == [("eq", i, i, 0, 0) for i in range(4)] and A.block_rows(None, None) == []
 
 
+def test_passages():
+    a = "<h2>A</h2><p>First words stand here.</p><h2>B</h2><p>Second words follow later on.</p>"
+    b = "<h2>A</h2><p>Second words follow later on.</p><h2>B</h2><p>Entirely other matter now.</p>"
+    got = A.passages(a, b)
+    assert ("add", 5, True, True) in got or ("del", 5, True, False) in got
+    assert A.passages(a, a) == [] and A.passages(None, None) == []
+
+
+def test_large_gaps():
+    r = random.Random(5)
+    old = [[f"w{r.randrange(5000)}" for _ in range(12)] for _ in range(1200)]
+    new = [w[:10] + ["changed"] for w in old if r.random() < 0.9]
+    p = A.paired(old, new)
+    assert len(p) >= 0.97 * len(new) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(p, p[1:], strict=False))
+
+
 def occurrence(spark, **have):
     base = dict.fromkeys([f.split()[0] for f in U.SCHEMA.replace("\n", " ").split(", ")]) | {"occurrence": 1} | have
     return spark.createDataFrame([tuple(base.values())], U.SCHEMA)
