@@ -156,9 +156,6 @@ def canonical_words(text: str, trie: Trie) -> str:
     return unicodedata.normalize("NFC", "".join(out))
 
 
-BLANKS = re.compile(rf"[\s{RETURN_ARROW}]+")
-
-
 def body_form(body: str, trie: Trie) -> str:
     """Form of a body's visible text without any white space."""
     t = without_markup(body, "")
