@@ -47,10 +47,6 @@ _PARTS = ("y", "mo", "d", "h", "mi", "s", "f", "half", "zone", "how")
 EXACT = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z\z"
 
 
-def _int(c: Column) -> Column:
-    return F.expr("try_cast(x as int)") if c is None else c.try_cast("int")
-
-
 def local_us(y: Column, mo: Column, d: Column, h: Column, mi: Column, s: Column, us: Column) -> Column:
     """Microseconds from 1970-01-01 00:00 by the same clock; null for what is no date or time."""
     day = F.try_to_date(F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), F.lpad(mo.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0")), "yyyy-MM-dd")

@@ -56,9 +56,6 @@ def _dialects() -> None:
 
 _dialects()
 
-US = "CAST(epoch_us({0}) AS BIGINT)"
-
-
 def us(c: str):
     return F.unix_micros(F.col(c).cast("timestamp"))
 
