@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import titles as N
 from palimpsest.operators import editions as E
+from palimpsest.operators import instants as I
 from palimpsest.operators import relational as R
 from palimpsest.operators import state as S
 from palimpsest.plans.registry import query
@@ -105,31 +106,34 @@ _CAP = f"(SELECT capture_id, edition_id, epoch_us(TRY_CAST(captured_at AS TIMEST
 
 
 def exact_captures(spark: SparkSession, sf: str) -> DataFrame:
-    """Captures with an exact stamp (the others are the business of stamp_cases)."""
+    """Captures with an exact stamp (`dated_captures` has those of any writing)."""
     c = table(spark, sf, "captures").dropDuplicates(["capture_id"]).where(F.col("captured_at").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ\z"))
     return c.select("capture_id", "edition_id", F.unix_micros(F.col("captured_at").try_cast("timestamp")).alias("t")).where("t IS NOT NULL")
 
 
-@query("J-05 J-06 W-07", f"""
-WITH e AS (SELECT note, edition_id, epoch_us(first_seen) AS s FROM {_E}), u AS (SELECT c.capture_id, x.note, c.t FROM {_CAP} c JOIN {_E} x ON x.edition_id = c.edition_id),
-h AS (SELECT u.capture_id, u.note, u.t, max((s, e.edition_id)) AS host FROM u LEFT JOIN e ON e.note = u.note AND e.s <= u.t + 259200000000 GROUP BY ALL)
-SELECT capture_id, host[2] AS host, coalesce(t - host[1] <= 3888000000000, FALSE) AS attached FROM h""")
-def timeline_hosts(spark: SparkSession, sf: str) -> DataFrame:
+def dated(spark: SparkSession, sf: str, name: str, stamp: str, key: str, *keep: str) -> DataFrame:
+    """`key`, `keep` and `t` of the rows whose stamp denotes an instant, in any writing, by the zone and day order of their provider."""
+    src = table(spark, sf, "stamp_sources").groupBy("provider").agg(F.min(F.struct("zone", "day_first")).alias("s"))
+    rows = table(spark, sf, name).select(key, *keep, stamp, "provider").join(src, "provider", "left")
+    found = I.with_instant(rows, stamp, F.col("s.zone"), F.col("s.day_first"), "t")
+    return found.where("t IS NOT NULL").select(key, *keep, "t").dropDuplicates([key])
+
+
+def dated_captures(spark: SparkSession, sf: str) -> DataFrame:
+    return dated(spark, sf, "captures", "captured_at", "capture_id", "edition_id")
+
+
+def hosts(captures: DataFrame, e: DataFrame) -> DataFrame:
     """Each capture with the edition that was the note's last one (three days' grace), attached if within 45 days."""
-    e = editions(spark, sf)
     start = e.select("note", "edition_id", F.unix_micros(F.col("first_seen").cast("timestamp")).alias("s"))
-    u = exact_captures(spark, sf).join(e.select("edition_id", "note"), "edition_id").select("capture_id", "note", "t", (F.col("t") + 3 * DAY).alias("late"))
+    u = captures.join(e.select("edition_id", "note"), "edition_id").select("capture_id", "note", "t", (F.col("t") + 3 * DAY).alias("late"))
     h = R.asof_join(u, start.withColumnRenamed("edition_id", "host"), ["note"], "late", "s", ["host"], 3650 * DAY)
     return h.select("capture_id", "host", F.coalesce(F.col("t") - F.col("s") <= 45 * DAY, F.lit(False)).alias("attached"))
 
 
-@query("M-08", f"""
-SELECT d.download_id, arg_min(c.capture_id, (abs(c.t - d.t), c.capture_id)) AS nearest FROM (SELECT DISTINCT ON (download_id) download_id, note, epoch_us(TRY_CAST(downloaded_at AS TIMESTAMPTZ)) AS t FROM repository_downloads WHERE regexp_full_match(downloaded_at, '\\d{{4}}-\\d\\d-\\d\\dT\\d\\d:\\d\\d:\\d\\dZ')) d
-JOIN {_E} e ON e.note = d.note JOIN {_CAP} c ON c.edition_id = e.edition_id GROUP BY d.download_id""")
-def nearest_capture(spark: SparkSession, sf: str) -> DataFrame:
-    """For each download the capture of its note nearest in time."""
-    d = table(spark, sf, "repository_downloads").dropDuplicates(["download_id"]).where(F.col("downloaded_at").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ\z")).select("download_id", "note", F.unix_micros(F.col("downloaded_at").try_cast("timestamp")).alias("t")).where("t IS NOT NULL")
-    c = exact_captures(spark, sf).join(editions(spark, sf).select("edition_id", "note"), "edition_id").select("note", "capture_id", F.col("t").alias("ct"))
+def nearest(d: DataFrame, captures: DataFrame, e: DataFrame) -> DataFrame:
+    """For each download (`download_id`, `note`, `t`) the capture of its note nearest in time, of several the first."""
+    c = captures.join(e.select("edition_id", "note"), "edition_id").select("note", "capture_id", F.col("t").alias("ct"))
     # nearest before and nearest after: two as-of joins instead of all pairs of a note
     b = R.asof_join(d, c.groupBy("note", "ct").agg(F.min("capture_id").alias("cb")), ["note"], "t", "ct", ["cb"], 3650 * DAY).withColumnRenamed("ct", "tb")
     after = c.groupBy("note", "ct").agg(F.min("capture_id").alias("ca")).select("note", (-F.col("ct")).alias("nt"), "ca")
@@ -138,6 +142,37 @@ def nearest_capture(spark: SparkSession, sf: str) -> DataFrame:
     return j.select("download_id", near.getField("c").alias("nearest")).where("nearest IS NOT NULL")
 
 
+@query("J-05 J-06 W-07", f"""
+WITH e AS (SELECT note, edition_id, epoch_us(first_seen) AS s FROM {_E}), u AS (SELECT c.capture_id, x.note, c.t FROM {_CAP} c JOIN {_E} x ON x.edition_id = c.edition_id),
+h AS (SELECT u.capture_id, u.note, u.t, max((s, e.edition_id)) AS host FROM u LEFT JOIN e ON e.note = u.note AND e.s <= u.t + 259200000000 GROUP BY ALL)
+SELECT capture_id, host[2] AS host, coalesce(t - host[1] <= 3888000000000, FALSE) AS attached FROM h""")
+def timeline_hosts(spark: SparkSession, sf: str) -> DataFrame:
+    """Of captures with an exact stamp, as the SQL has it; all others too: `dated_timeline_hosts`."""
+    return hosts(exact_captures(spark, sf), editions(spark, sf))
+
+
+@query("J-05 J-06 W-07")
+def dated_timeline_hosts(spark: SparkSession, sf: str) -> DataFrame:
+    """Every capture whose stamp denotes an instant, however written, with its host."""
+    return hosts(dated_captures(spark, sf), editions(spark, sf))
+
+
+@query("M-08", f"""
+SELECT d.download_id, arg_min(c.capture_id, (abs(c.t - d.t), c.capture_id)) AS nearest FROM (SELECT DISTINCT ON (download_id) download_id, note, epoch_us(TRY_CAST(downloaded_at AS TIMESTAMPTZ)) AS t FROM repository_downloads WHERE regexp_full_match(downloaded_at, '\\d{{4}}-\\d\\d-\\d\\dT\\d\\d:\\d\\d:\\d\\dZ')) d
+JOIN {_E} e ON e.note = d.note JOIN {_CAP} c ON c.edition_id = e.edition_id GROUP BY d.download_id""")
+def nearest_capture(spark: SparkSession, sf: str) -> DataFrame:
+    """Of downloads and captures with an exact stamp, as the SQL has it; all others too: `dated_nearest_capture`."""
+    d = table(spark, sf, "repository_downloads").dropDuplicates(["download_id"]).where(F.col("downloaded_at").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ\z")).select("download_id", "note", F.unix_micros(F.col("downloaded_at").try_cast("timestamp")).alias("t")).where("t IS NOT NULL")
+    return nearest(d, exact_captures(spark, sf), editions(spark, sf))
+
+
+@query("M-08")
+def dated_nearest_capture(spark: SparkSession, sf: str) -> DataFrame:
+    """For each download whose stamp denotes an instant, however written, the capture of its note nearest in time."""
+    d = dated(spark, sf, "repository_downloads", "downloaded_at", "download_id", "note")
+    return nearest(d, dated_captures(spark, sf), editions(spark, sf))
+
+
 @query("W-16 ST-19", "SELECT log_id, edition_id FROM (SELECT log_id, edition_id, title, public_updated_at, lag(title) OVER w AS bt, lag(public_updated_at) OVER w AS bp, row_number() OVER w AS i FROM (SELECT DISTINCT ON (log_id) * FROM title_log) WINDOW w AS (PARTITION BY edition_id ORDER BY received_at, log_id)) WHERE i = 1 OR title IS DISTINCT FROM bt OR public_updated_at IS DISTINCT FROM bp")
 def title_changes(spark: SparkSession, sf: str) -> DataFrame:
     """Readings, as received, that differ from the one received before."""
