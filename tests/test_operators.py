@@ -184,6 +184,43 @@ def test_large_gaps():
     assert len(p) >= 0.97 * len(new) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(p, p[1:], strict=False))
 
 
+def plain_pairs(old, new, least=0.5):
+    """The whole table, cell by cell."""
+    s = [[d if x + y and (d := A.dice(x, y)) >= least else 0.0 for y in new] for x in old]
+    best = [[0.0] * (len(new) + 1) for _ in range(len(old) + 1)]
+    for i in range(len(old) - 1, -1, -1):
+        for j in range(len(new) - 1, -1, -1):
+            best[i][j] = max(best[i + 1][j], best[i][j + 1], s[i][j] + best[i + 1][j + 1] if s[i][j] else 0.0)
+    out, i, j = [], 0, 0
+    while i < len(old) and j < len(new):
+        if s[i][j] and best[i][j] == s[i][j] + best[i + 1][j + 1]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif best[i][j] == best[i + 1][j]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
+def test_pairs_equal_the_whole_table():
+    r = random.Random(11)
+    for n in [*range(8)] * 20 + [60, 90]:
+        old = [[f"w{r.randrange(9)}" for _ in range(r.randrange(7))] for _ in range(n)]
+        new = [[x if r.random() < 0.8 else "new" for x in w] for w in old if r.random() < 0.8] + [["w1", "w2"]] * r.randrange(3)
+        assert A.paired(old, new) == plain_pairs(old, new) and A.paired(new, old) == plain_pairs(new, old)
+
+
+@pytest.mark.parametrize("n", [900, 1500])
+def test_repeated_words_in_large_gaps(n):
+    """Rows of a table with a small vocabulary: each changed in one word, every word at more than 256 places; no pair may be lost at any size."""
+    old = [["row", "of", "the", "list", f"a{i % 3}", f"b{i % 2}", "was"] for i in range(n)]
+    new = [[*w[:-1], "is"] for w in old]
+    assert A.paired(old, new) == [(i, i) for i in range(n)]
+    body = lambda rows: "".join(f"<p>{' '.join(w)}</p>" for w in rows)
+    assert {k for k, *_ in A.block_rows(body(old), body(new))} == {"mod"}
+
+
 def occurrence(spark, **have):
     base = dict.fromkeys([f.split()[0] for f in U.SCHEMA.replace("\n", " ").split(", ")]) | {"occurrence": 1} | have
     return spark.createDataFrame([tuple(base.values())], U.SCHEMA)
