@@ -61,6 +61,16 @@ def grams(w: Column, n: int) -> Column:
     return bound(w, of)
 
 
+def gram_hashes(w: Column, n: int, whole: bool = True) -> Column:
+    """As `grams`, as 64-bit hashes: eight bytes a run instead of its words. `whole` False: every run, repeats too, and none of fewer words."""
+
+    def of(x: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(x) - n + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(x, i, n), " ")))
+        return F.when(F.size(x) < (1 if whole else n), F.array().cast("array<bigint>")).otherwise(F.array_distinct(runs) if whole else runs)
+
+    return bound(w, of)
+
+
 def kept_share(a: Column, b: Column) -> Column:
     """Common members / members of the larger set, to 3 places; 1 if both are empty."""
     larger = F.greatest(F.size(a), F.size(b))

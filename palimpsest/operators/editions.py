@@ -5,23 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.functions.text import grams, kept_share, words
+from palimpsest.functions.text import gram_hashes, kept_share, words
+from palimpsest.operators.neighbours import beside_previous, ranges, with_previous, with_running_sum
 
 
 def similarity_to_previous(df: DataFrame, series: str, order: str, text: str, n: int = 5) -> DataFrame:
-    """`order`, `series`, `previous`, `similarity` (null on the first). One shuffle by series; phrases are compared as sets inside the row."""
-    w = Window.partitionBy(series).orderBy(order)
-    g = df.select(order, series, grams(words(F.col(text)), n).alias("g"))
-    p = g.withColumns({"b": F.lag("g").over(w), "previous": F.lag(order).over(w)})
-    return p.select(order, series, "previous", F.when(F.col("previous").isNotNull(), kept_share(F.col("g"), F.col("b"))).alias("similarity"))
+    """`order`, `series`, `previous`, `similarity` (null on the first). `order` is the key. Phrases are sets of hashes, compared inside the row."""
+    g = df.select(order, series, gram_hashes(words(F.col(text)), n).alias("g"))
+    p = beside_previous(g, series, [order], order, [series, "g"])
+    return p.select(order, series, "previous", F.when(F.col("previous").isNotNull(), kept_share(F.col("g"), F.col("previous_g"))).alias("similarity"))
 
 
 def collapse_copies(df: DataFrame, series: str, order: str, fingerprint: str, rank: Column) -> DataFrame:
     """Only adjacent equal texts merge (A, B, A stays three); the copy with the highest rank is kept."""
-    w = Window.partitionBy(series).orderBy(order)
-    f = df.select(series, order, rank.alias("rank"), F.when(F.col(fingerprint) == F.lag(fingerprint).over(w), 0).otherwise(1).alias("new"))
-    r = f.withColumn("run", F.sum("new").over(w))
-    return r.groupBy(series, "run").agg(F.max_by(order, "rank").alias("kept"), F.min(order).alias("first_doc"), F.count("*").alias("copies")).drop("run")
+    light = df.select(series, order, F.col(fingerprint).alias("print"), rank.alias("rank"))
+    r = with_previous(ranges(light, series, [order], ["print", "rank"]), series, [order], ["print"])
+    f = r.withColumn("new", F.when(~F.col("first") & (F.col("print") == F.col("previous_print")), 0).otherwise(1))
+    f = with_running_sum(f, series, [order], "new", "run")
+    return f.groupBy(series, "run").agg(F.max_by(order, "rank").alias("kept"), F.min(order).alias("first_doc"), F.count("*").alias("copies")).drop("run")
 
 
 def left_source(df: DataFrame, key: str, edition: str, seen: str, live: Column) -> DataFrame:

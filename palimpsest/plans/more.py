@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.text import bound, words
 from palimpsest.operators import numbers as N
+from palimpsest.operators.neighbours import beside_previous
 from palimpsest.plans.registry import both, query
 from palimpsest.session import table
 
@@ -156,5 +157,5 @@ def figures_in_words(spark: SparkSession, sf: str) -> DataFrame:
 @query("W-15 X-32")
 def located_quotes(spark: SparkSession, sf: str) -> DataFrame:
     """Quotations of each document found again in the document before, where their context agrees best (tested on its own)."""
-    d = table(spark, sf, "documents").select("doc_id", "text", F.lag("text").over(Window.partitionBy("source").orderBy("doc_id")).alias("before"))
-    return N.locate_quotes(d, "doc_id", "text", "before")
+    d = beside_previous(table(spark, sf, "documents").select("doc_id", "source", "text"), "source", ["doc_id"], "doc_id", ["text"])
+    return N.locate_quotes(d, "doc_id", "text", "previous_text")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import text as T
 from palimpsest.operators.editions import collapse_copies as collapse
 from palimpsest.operators.editions import similarity_to_previous as similarity
+from palimpsest.operators.neighbours import beside_previous
 from palimpsest.plans.registry import query
 from palimpsest.session import table
 
@@ -161,7 +162,9 @@ SELECT doc_id, count(*) AS sentences, count(*) FILTER (contains(other, ' ' || ar
 def sentence_containment(spark: SparkSession, sf: str) -> DataFrame:
     """Sentences of eight or more words that stand word for word in the document before."""
     d = table(spark, sf, "documents").select("doc_id", "source", "text", F.concat(F.lit(" "), F.array_join(T.words(F.col("text")), " "), F.lit(" ")).alias("flat"))
-    d = d.withColumn("other", F.lag("flat").over(Window.partitionBy("source").orderBy("doc_id"))).where("other IS NOT NULL")
-    s = d.select("doc_id", "other", F.explode(F.split(F.coalesce("text", F.lit("")), r"[.!?]\s+")).alias("sentence")).withColumn("sw", T.words(F.col("sentence"))).where(F.size("sw") >= 8)
-    hit = F.contains(F.col("other"), F.concat(F.lit(" "), F.array_join("sw", " "), F.lit(" ")))
-    return s.groupBy("doc_id").agg(F.count("*").alias("sentences"), F.count_if(hit).alias("found"))
+    d = beside_previous(d, "source", ["doc_id"], "doc_id", ["text", "flat"]).where("previous IS NOT NULL").select("doc_id", "text", F.col("previous_flat").alias("other"))
+    # a sentence is looked up in its own row: the other text isn't repeated for each sentence
+    spoken = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), r"[.!?]\s+"), lambda s: F.array_join(T.words(s), " ")), lambda s: F.size(F.split(s, " ")) >= 8)
+    s = d.select("doc_id", "other", spoken.alias("s")).where(F.size("s") > 0)
+    hits = F.filter("s", lambda x: F.contains(F.col("other"), F.concat(F.lit(" "), x, F.lit(" "))))
+    return s.select("doc_id", F.size("s").cast("long").alias("sentences"), F.size(hits).cast("long").alias("found"))
