@@ -5,8 +5,11 @@ regular expressions in the JVM. `resolve` then joins the local times with explod
 end, offset, abbreviation): two matching intervals mean an ambiguous reading (the earlier instant holds), none means a reading that the
 clocks skipped (the offset in force before the change holds), one gives the offset.
 
-The intervals are the only broadcast side. Their number is bounded by zones x years x changes a year, some ten thousand rows at most; the
-bound is checked. No row is shuffled by the join.
+Intervals are listed by the year up to LAST_EXPLICIT, the first one open towards the past. Later years follow each zone's standing rule, which
+depends only on the weekday of 1 January and on the leap day: each later year is read by the listed one of its kind. So every year has its
+intervals, and the number of rows stays zones x 300.
+
+The intervals are the only broadcast side; their bound is checked. No row is shuffled by the join.
 
 Defined cases: null, empty, unreadable and impossible stamps (31 June, month 13, 25 hours, second 60) have no instant; missing parts are
 zero; digits past microseconds are cut; two-digit years are 20yy; an abbreviation that the zone never used has no instant.
@@ -20,8 +23,11 @@ from zoneinfo import ZoneInfo
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FIRST_YEAR, LAST_YEAR = 1990, 2060
-MOST_INTERVALS = 100_000
+#: Zones keep no earlier changes than FIRST_YEAR's, and none of their own after LAST_EXPLICIT; the 28 years that follow it stand for all later ones.
+FIRST_YEAR, LAST_EXPLICIT = 1834, 2100
+LAST_YEAR = LAST_EXPLICIT + 28
+MOST_INTERVALS = 1_000_000
+EVER = 1 << 62
 
 MONTHS = {
     "jan": 1, "januar": 1, "january": 1, "feb": 2, "februar": 2, "february": 2, "mar": 3, "march": 3, "märz": 3, "maerz": 3, "mär": 3, "mrz": 3,
@@ -54,6 +60,28 @@ def local_us(y: Column, mo: Column, d: Column, h: Column, mi: Column, s: Column,
     return F.when(fine, (F.unix_date(day).cast("long") * 86400 + h * 3600 + mi * 60 + s) * 1_000_000 + us)
 
 
+def kind_of_year(year: Column) -> Column:
+    """0 to 13: weekday of 1 January and whether there is a leap day."""
+    before = year - 1
+    weekday = F.pmod(F.lit(1) + 365 * before + F.floor(before / 4) - F.floor(before / 100) + F.floor(before / 400), F.lit(7))
+    leap = ((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0)
+    return (weekday * 2 + leap.cast("int")).cast("int")
+
+
+def standing_years() -> dict[int, int]:
+    """Kind of year -> the first listed year of that kind after LAST_EXPLICIT."""
+    out: dict[int, int] = {}
+    for y in range(LAST_EXPLICIT + 1, LAST_YEAR + 1):
+        first = datetime(y, 1, 1)
+        out.setdefault(first.isoweekday() % 7 * 2 + ((datetime(y + 1, 1, 1) - first).days == 366), y)
+    return out
+
+
+def first_day_us(year: Column) -> Column:
+    """Microseconds from 1970 to the year's first day."""
+    return F.unix_date(F.make_date(year, F.lit(1), F.lit(1))).cast("long") * 86_400_000_000
+
+
 def read_stamp(stamp: Column, day_first: Column) -> dict[str, Column]:
     """`local`: microseconds by the writer's clock; `zone`: zone as written, '' if none, 'Z' for UTC. Both null if it is no stamp."""
     t = F.regexp_replace(F.regexp_replace(stamp, rf"^{_BLANK}+|{_BLANK}+$", ""), rf"{_BLANK}+", " ")
@@ -65,10 +93,11 @@ def read_stamp(stamp: Column, day_first: Column) -> dict[str, Column]:
     return {"__t": t, "__parts": parts} | {f"__{k}": v for k, v in p.items()}
 
 
-def with_instant(df: DataFrame, stamp: str, zone: Column, day_first: Column, out: str = "utc_us") -> DataFrame:
+def with_instant(df: DataFrame, stamp: str, zone: Column, day_first: Column, out: str = "utc_us", zones: list[str] | None = None) -> DataFrame:
     """`df` with `out`: microseconds since 1970 in UTC that the string column `stamp` denotes, or null.
 
     `zone`: IANA name that holds where the stamp states none (null: UTC). `day_first`: order of figures with slashes (null: true).
+    `zones`: all zones that occur, if they are known; else they are looked up by a pass over the rows.
     Names that begin with two underscores are used inside and must be free.
     """
     steps = read_stamp(F.col(stamp), day_first)
@@ -106,15 +135,20 @@ def with_instant(df: DataFrame, stamp: str, zone: Column, day_first: Column, out
     off_h, off_m = F.substring(digits, 1, 2).try_cast("int"), F.coalesce(F.nullif(F.substring(digits, 3, 2), F.lit("")), F.lit("0")).try_cast("int")
     offset = F.when(z.isin("Z", "GMT", "UTC", "UT"), F.lit(0)).when(z.rlike(r"^[+-]") & off_h.between(0, 18) & off_m.between(0, 59), F.when(z.startswith("-"), -1).otherwise(1) * (off_h * 3600 + off_m * 60))
     df = df.withColumns({"__local": local, "__number": number_us, "__z": z, "__offset": offset.cast("long")})
-    wall = F.timestamp_micros(F.col("__local"))
-    df = df.withColumn("__year", F.when(F.col("__parts").isNotNull() & F.col("__offset").isNull(), F.least(F.greatest(F.year(wall), F.lit(FIRST_YEAR)), F.lit(LAST_YEAR))))
-
-    cuts = intervals(df)
+    # a later year is read by the listed one of its kind; `__moved`: how far the local time moves for that
+    own = F.col("__own")
+    standing = F.try_element_at(F.create_map(*[F.lit(x) for kv in standing_years().items() for x in kv]), kind_of_year(own))
+    df = df.withColumn("__own", F.when(F.col("__local").isNotNull() & F.col("__parts").isNotNull() & F.col("__offset").isNull(), year))
+    df = df.withColumn("__year", F.when(own > LAST_EXPLICIT, standing).otherwise(F.greatest(own, F.lit(FIRST_YEAR))))
+    df = df.withColumn("__moved", F.when(own > LAST_EXPLICIT, first_day_us(own) - first_day_us(F.col("__year"))).otherwise(F.lit(0)))
+    df = df.withColumn("__at", F.col("__local") - F.col("__moved"))
+
+    cuts = intervals(df, zones)
     df = df.join(F.broadcast(cuts), (df["__home"] == cuts["__zone"]) & (df["__year"] == cuts["__in"]), "left").drop("__in").drop(cuts["__zone"])
     named = F.col("__z") != ""
     x = lambda k: f"x.{k}"
-    df = df.withColumn("__hits", F.expr(f"filter(__cuts, x -> __local >= {x('lo')} and __local < {x('hi')} and (__z = '' or upper({x('abbr')}) = __z))"))
-    df = df.withColumn("__before", F.expr("filter(__cuts, x -> __local >= x.lo)"))
+    df = df.withColumn("__hits", F.expr(f"filter(__cuts, x -> __at >= {x('lo')} and __at < {x('hi')} and (__z = '' or upper({x('abbr')}) = __z))"))
+    df = df.withColumn("__before", F.expr("filter(__cuts, x -> __at >= x.lo)"))
     df = df.withColumn("__like", F.expr("filter(__cuts, x -> upper(x.abbr) = __z)"))
     latest = F.expr("array_max(transform(__before, x -> struct(x.lo, x.off)))")["off"]
     earliest_instant = F.expr("array_max(transform(__hits, x -> x.off))")
@@ -143,34 +177,46 @@ def zone_cuts(zone: str, first: int = FIRST_YEAR, last: int = LAST_YEAR) -> list
         else:
             t = nxt
     out.append((start, end, *now))
-    return [((a + off) * 1_000_000, (b + off) * 1_000_000, off, abbr) for a, b, off, abbr in out]
+    cuts = [((a + off) * 1_000_000, (b + off) * 1_000_000, off, abbr) for a, b, off, abbr in out]
+    return [(-EVER, *cuts[0][1:]), *cuts[1:]]
 
 
-def intervals(df: DataFrame) -> DataFrame:
+def intervals(df: DataFrame, zones: list[str] | None = None) -> DataFrame:
     """Exploded by year and gathered again by (zone, year): every local time finds the few intervals near it by an equi-join.
 
-    Zones are those in `__home`; their number is the number of zones in use, at most a few hundred, and the driver checks it.
+    Zones are those given, or those in `__home`; there are some hundreds of zones in the world, and the driver checks that.
     """
     spark = df.sparkSession
-    zones = [r[0] for r in df.select("__home").distinct().limit(1001).collect()]
-    if len(zones) > 1000:
+    found = sorted({*zones, "Etc/UTC"}) if zones is not None else [r[0] for r in df.select("__home").distinct().limit(1001).collect()]
+    if len(found) > 1000:
         raise ValueError("more than 1000 zones: the zone column holds something else")
     rows = []
-    for zone in zones:
+    for zone in found:
         try:
             cuts = zone_cuts(zone)
         except (KeyError, ValueError, OSError):
             cuts = zone_cuts("Etc/UTC")  # a zone that doesn't exist counts as not listed
+        k = 0
         for year in range(FIRST_YEAR, LAST_YEAR + 1):
             # a gap's reading needs the interval before it, an abbreviation any of the year's
             lo, hi = (int(datetime(y, 1, 1, tzinfo=UTC).timestamp()) * 1_000_000 for y in (year, year + 1))
-            near = [c for c in cuts if c[0] < hi + 86_400_000_000 and c[1] > lo - 86_400_000_000]
+            while cuts[k][1] <= lo - 86_400_000_000:
+                k += 1
+            near = [c for c in cuts[k : k + 40] if c[0] < hi + 86_400_000_000]
             rows.append((zone, year, near))
-    if sum(len(r[2]) for r in rows) > MOST_INTERVALS * 5:
+    if sum(len(r[2]) for r in rows) > MOST_INTERVALS:
         raise ValueError("too many zone intervals to broadcast")
     return spark.createDataFrame(rows, "__zone string, __in int, __cuts array<struct<lo: bigint, hi: bigint, off: bigint, abbr: string>>")
 
 
+def listed_zones(sources: DataFrame) -> list[str]:
+    """Zones of the table of sources, which is small and fixed; the driver checks its size."""
+    found = [r[0] for r in sources.where("zone IS NOT NULL").select("zone").distinct().limit(1001).collect()]
+    if len(found) > 1000:
+        raise ValueError("more than 1000 zones in the table of sources")
+    return found
+
+
 def stamps(df: DataFrame, field: str, key: str) -> DataFrame:
     """`field`, `row_id`, `stamp`, `provider` of the values that are stated and not yet written yyyy-MM-ddTHH:mm:ssZ."""
     rows = df.select(F.lit(field).alias("field"), F.col(key).cast("long").alias("row_id"), F.col(field).alias("stamp"), "provider")
@@ -184,7 +230,7 @@ def resolved_stamps(rows: DataFrame, sources: DataFrame) -> DataFrame:
     """
     src = sources.groupBy("provider").agg(F.min(F.struct("zone", "day_first")).alias("s")).select(F.col("provider").alias("__p"), F.col("s.zone").alias("__zn"), F.col("s.day_first").alias("__first"))
     rows = rows.join(src, rows["provider"] == src["__p"], "left").withColumnsRenamed({"__zn": "zn", "__first": "first"})
-    found = with_instant(rows, "stamp", F.col("zn"), F.col("first"))
+    found = with_instant(rows, "stamp", F.col("zn"), F.col("first"), zones=listed_zones(sources))
     return found.where("utc_us is not null").select("field", "row_id", "utc_us").dropDuplicates(["field", "row_id"])
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.operators.neighbours import ranges, with_running_sum
 from palimpsest.session import checkpoint
 
 
@@ -63,16 +64,25 @@ def merged_intervals(df: DataFrame, keys: list[str], start: str, end: str, weigh
 
 
 def rank_quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """Element number floor(n x q) of the ascending values, exact, by counting: one sort, no list of all values."""
-    w = Window.partitionBy(*keys).orderBy(value)
-    r = df.where(F.col(value).isNotNull()).withColumn("__i", F.row_number().over(w) - 1).withColumn("__n", F.count("*").over(Window.partitionBy(*keys)))
-    return r.groupBy(*keys).agg(*[F.max(F.when(F.col("__i") == F.least(F.floor(F.col("__n") * q), F.col("__n") - 1), F.col(value))).alias(k) for k, q in shares.items()])
+    """Element number floor(n x q) of the ascending values, exact: values are put in order by ranges of (key, value), so a key may hold all rows."""
+    rows = ranges(df.where(F.col(value).isNotNull()).select(F.struct(*keys).alias("__key"), F.col(value).alias("__v"), F.lit(1).alias("__one")), "__key", ["__v"], ["__one"])
+    n = rows.groupBy(F.col("__key").alias("__k")).agg(F.count("*").alias("__n"))
+    places = with_running_sum(rows, "__key", ["__v"], "__one", "__i").join(n, F.col("__key").eqNullSafe(F.col("__k")))
+    at = {k: F.least(F.floor(F.col("__n") * q), F.col("__n") - 1) for k, q in shares.items()}
+    asked = places.where(F.array_contains(F.array(*at.values()), F.col("__i") - 1))
+    out = asked.groupBy("__key").agg(*[F.max(F.when(F.col("__i") - 1 == i, F.col("__v"))).alias(k) for k, i in at.items()])
+    return out.select(*[F.col(f"__key.{k}").alias(k) for k in keys], *shares)
 
 
 def top_k_with_overflow(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
-    """The first k rows of each key, and how many more there were."""
-    w = Window.partitionBy(*keys)
-    return df.withColumns({"place": F.row_number().over(w.orderBy(*order)), "overflow": F.greatest(F.count("*").over(w) - k, F.lit(0))}).where(F.col("place") <= k)
+    """The first k rows of each key, and how many more there were. Ranks are cut at k before the shuffle, counts are partial sums."""
+    top = df.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("place") <= k)
+    n = df.groupBy(*[F.col(x).alias(f"__{x}") for x in keys]).agg(F.greatest(F.count("*") - k, F.lit(0)).alias("overflow"))
+    same = None
+    for x in keys:
+        c = F.col(x).eqNullSafe(F.col(f"__{x}"))
+        same = c if same is None else same & c
+    return top.join(n, same).select(*df.columns, "place", "overflow")
 
 
 def unique_matches(left: DataFrame, right: DataFrame, condition: Column, left_key: str) -> DataFrame:
@@ -88,15 +98,21 @@ def listing_diff(ours: DataFrame, theirs: DataFrame, key: str, value: str, toler
     return a.join(b, key, "full").withColumn("state", state)
 
 
-def components(edges: DataFrame, a: str, b: str, rounds: int = 50) -> DataFrame:
-    """`node`, `component` (smallest node) of an undirected graph: alternating large-star and small-star steps, O(log n) rounds.
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """`node`, `component` (smallest node) of an undirected graph: alternating large-star and small-star steps until nothing changes.
 
-    Only edges are shuffled; each round ends in a reliable checkpoint, so the lineage stays short and a lost executor loses nothing.
+    The number of rounds grows with the logarithm of the nodes and isn't bounded. Only edges are shuffled; each round ends in a reliable
+    checkpoint, so the lineage stays short and a lost executor loses nothing. A hub's edges meet one row, its smallest neighbour, which is
+    found by partial minima; adaptive execution splits the hub's side of that join.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
     nodes = e.select(F.col("u").alias("node")).unionByName(e.select(F.col("v").alias("node"))).distinct()
-    e = checkpoint(e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    for _ in range(rounds):
+    e = e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    # equal sets of edges have equal counts and sums of hashes
+    seen = lambda x: tuple(x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.sum(F.hash("v", "u").cast("long"))).first())
+    e, before = checkpoint(e), None
+    while (now := seen(e)) != before:
+        before = now
         # large star: a node's larger neighbours hang on its smallest one
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         m = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -104,10 +120,7 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 50) -> DataFrame:
         # small star: a node and its smaller neighbours hang on the smallest of them
         m = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(m, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").where("u <> v").distinct()
-        new = checkpoint(small)
-        if not new.exceptAll(e).limit(1).count() and new.count() == e.count():
-            break
-        e = new
+        e = checkpoint(small)
     return nodes.join(e, F.col("node") == F.col("u"), "left").select("node", F.coalesce("v", "node").alias("component"))
 
 
@@ -131,20 +144,26 @@ def inside_polygon(x: Column, y: Column, ring: list[tuple[float, float]]) -> Col
 
 
 def greedy_pairs(scored: DataFrame, block: str, a: str, b: str, score: str) -> DataFrame:
-    """One-to-one pairs, best score first (ties: smaller a, then b), within each block."""
-    import pandas as pd
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values([score, a, b], ascending=[False, True, True])
-        seen_a, seen_b, keep = set(), set(), []
-        for i, (x, y) in enumerate(zip(p[a], p[b], strict=True)):
-            if x not in seen_a and y not in seen_b:
-                seen_a.add(x)
-                seen_b.add(y)
-                keep.append(i)
-        return p.iloc[keep]
-
-    return scored.select(block, a, b, score).groupBy(block).applyInPandas(run, scored.select(block, a, b, score).schema)
+    """One-to-one pairs, best score first (ties: smaller a, then b), within each block.
+
+    A pair that is the best of both its sides is one that the greedy order takes, whatever comes before it: such pairs are taken at once, what
+    touches them falls away, and so on until no pair is left. No block is gathered in a task. Null scores come last.
+    """
+    rest = scored.select(block, a, b, score).where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    rest, out = checkpoint(rest.withColumn("__block", F.struct(F.col(block)))), None
+    a_, b_ = F.struct(F.col("__block").alias("k"), F.col(a).alias("x")), F.struct(F.col("__block").alias("k"), F.col(b).alias("x"))
+    while rest.limit(1).count():
+        # ascending place: the first is the best
+        place = F.struct(F.when(F.col(score).isNull(), 1).otherwise(0).alias("none"), (-F.col(score)).alias("less"), F.col(a).alias("p"), F.col(b).alias("q"))
+        ranked = rest.withColumns({"__a": a_, "__b": b_, "__place": place})
+        best_a = ranked.groupBy("__a").agg(F.min("__place").alias("__ta"))
+        best_b = ranked.groupBy("__b").agg(F.min("__place").alias("__tb"))
+        mutual = ranked.join(best_a, "__a").join(best_b, "__b").where((F.col("__place") == F.col("__ta")) & (F.col("__place") == F.col("__tb")))
+        taken = checkpoint(mutual.select("__a", "__b", block, a, b, score).dropDuplicates(["__a", "__b"]))
+        out = taken if out is None else out.unionByName(taken)
+        left = ranked.join(taken.select("__a"), "__a", "left_anti").join(taken.select("__b"), "__b", "left_anti")
+        rest = checkpoint(left.select(block, a, b, score, "__block"))
+    return (out if out is not None else rest).select(block, a, b, score)
 
 
 def last_per_key(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:

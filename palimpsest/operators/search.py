@@ -6,10 +6,11 @@ import re
 import unicodedata
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import words
+from palimpsest.operators.relational import top_k_with_overflow
 
 #: Words of a query that say nothing about what is sought (fixed values).
 FILLER = {"the", "a", "an", "of", "in", "on", "for", "about", "and", "to", "with"}
@@ -76,6 +77,5 @@ def inverted_index(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def grouped_hits(df: DataFrame, group: str, order: list[Column], k: int) -> DataFrame:
-    """First k hits of each group with the group's number of hits."""
-    w = Window.partitionBy(group)
-    return df.withColumns({"place": F.row_number().over(w.orderBy(*order)), "hits": F.count("*").over(w)}).where(F.col("place") <= k)
+    """First k hits of each group with the group's number of hits. A null group is one."""
+    return top_k_with_overflow(df, [group], order, k).drop("overflow").join(df.groupBy(F.col(group).alias("__g")).agg(F.count("*").alias("hits")), F.col(group).eqNullSafe(F.col("__g"))).drop("__g")

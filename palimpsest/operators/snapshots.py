@@ -19,7 +19,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.session import written
+
 ROWS_A_BUCKET = 400_000
+#: Differing keys up to this number go to every executor; more are joined by a shuffle of the keys and texts.
+BROADCAST_DIFFERING = 1_000_000
 #: Snapshot numbers go to the driver; a weekly delivery makes 52 a year.
 MOST_SNAPSHOTS = 1_000_000
 NULL = np.iinfo(np.int64).min
@@ -90,10 +94,14 @@ def changes(df: DataFrame, snapshot: str, entity: str, compared: Column, seen: C
         s, k, kind, where = differences(snap[keep], key[keep], row[keep], seen_us[keep], before)
         return pa.table({"bucket": pa.array(np.full(len(s), bucket, np.int32)), "snap": pa.array(s), "key": pa.array(k), "change": pa.array(NAMES[kind].tolist(), pa.string()), "valued": pa.array(where)})
 
-    found = keys.groupBy("bucket").applyInArrow(run, "bucket int, snap long, key long, change string, valued long")
-    # full values, for the differing keys only: the entity's text by its hash
-    named = rows.select(F.pmod(F.hash(entity), F.lit(n)).alias("b"), F.xxhash64(entity).alias("k"), F.col(entity)).distinct()
-    out = found.join(named, (F.col("bucket") == F.col("b")) & (F.col("key") == F.col("k")))
+    found = written(keys.groupBy("bucket").applyInArrow(run, "bucket int, snap long, key long, change string, valued long"), "differences")
+    # full values, for the differing keys only: the entity's text by its hashes. Texts of other keys aren't moved.
+    differing = found.select(F.col("bucket").alias("b"), F.col("key").alias("k")).distinct()
+    if differing.limit(BROADCAST_DIFFERING + 1).count() <= BROADCAST_DIFFERING:
+        differing = F.broadcast(differing)
+    texts = rows.select(F.pmod(F.hash(entity), F.lit(n)).alias("bucket_"), F.xxhash64(entity).alias("key_"), F.col(entity))
+    named = texts.join(differing, (F.col("bucket_") == F.col("b")) & (F.col("key_") == F.col("k")), "left_semi").distinct()
+    out = found.join(named, (F.col("bucket") == F.col("bucket_")) & (F.col("key") == F.col("key_")))
     return out.select(F.col("snap").cast(df.schema[snapshot].dataType).alias(snapshot), F.col(entity), "change")
 
 

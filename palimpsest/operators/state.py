@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.operators.neighbours import ranges, with_running_sum
+
 
 def latest(df: DataFrame, key: str, at: str, value: str) -> DataFrame:
     """`key`, `at`, `value` of the newest row of each key (ties: the greater value, null least)."""
@@ -35,8 +37,9 @@ def revisions(df: DataFrame, key: str, order: list[str], expected: str) -> DataF
 
 def within_budget(df: DataFrame, order: list[str], size: str, budget: float, block: str) -> DataFrame:
     """Rows in order until the running sum passes the budget: sums by block first, so no global sort meets one task."""
-    sums = df.groupBy(block).agg(F.sum(size).alias("__s"))
-    before = sums.withColumn("__b", F.coalesce(F.sum("__s").over(Window.orderBy(block).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__s")
+    sums = df.groupBy(block).agg(F.sum(size).alias("__s")).withColumn("__all", F.lit(0))
+    # running sums of the blocks by ranges of them: blocks may be as many as rows
+    before = with_running_sum(ranges(sums, "__all", [block], ["__s"]), "__all", [block], "__s", "__t").select(F.col(block), (F.col("__t") - F.col("__s")).alias("__b"))
     j = df.join(before, block)
     inner = F.sum(size).over(Window.partitionBy(block).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return j.withColumn("running", F.col("__b") + inner).where(F.col("running") <= budget).drop("__b")

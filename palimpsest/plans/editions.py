@@ -113,9 +113,10 @@ def exact_captures(spark: SparkSession, sf: str) -> DataFrame:
 
 def dated(spark: SparkSession, sf: str, name: str, stamp: str, key: str, *keep: str) -> DataFrame:
     """`key`, `keep` and `t` of the rows whose stamp denotes an instant, in any writing, by the zone and day order of their provider."""
-    src = table(spark, sf, "stamp_sources").groupBy("provider").agg(F.min(F.struct("zone", "day_first")).alias("s"))
+    sources = table(spark, sf, "stamp_sources")
+    src = sources.groupBy("provider").agg(F.min(F.struct("zone", "day_first")).alias("s"))
     rows = table(spark, sf, name).select(key, *keep, stamp, "provider").join(src, "provider", "left")
-    found = I.with_instant(rows, stamp, F.col("s.zone"), F.col("s.day_first"), "t")
+    found = I.with_instant(rows, stamp, F.col("s.zone"), F.col("s.day_first"), "t", I.listed_zones(sources))
     return found.where("t IS NOT NULL").select(key, *keep, "t").dropDuplicates([key])
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.text import bound, words
 from palimpsest.operators import numbers as N
+from palimpsest.operators import relational as R
 from palimpsest.operators.neighbours import beside_previous
 from palimpsest.plans.registry import both, query
 from palimpsest.session import table
@@ -67,19 +68,24 @@ _HEAD = "SELECT edition_id, note, first_seen, unnest(regexp_extract_all(coalesce
 _SLUG = "trim(regexp_replace(lower(heading), '[^a-z0-9]+', '-', 'g'), '-')"
 
 
-@query("J-22 CMP-16", f"""
+@query("J-22", f"""
 WITH h AS (SELECT edition_id, note, {_SLUG} AS slug FROM ({_HEAD})), t AS (SELECT DISTINCT note, slug FROM h), o AS (SELECT title_id, {_SLUG.replace('heading', 'topic')} AS slug FROM official_titles),
-s AS (SELECT slug, min(title_id) AS title_id FROM o GROUP BY 1), p AS (SELECT substr(slug, 1, 6) AS head, min(title_id) AS title_id FROM o WHERE length(slug) >= 6 GROUP BY 1)
-SELECT t.note, t.slug, coalesce(s.title_id, p.title_id) AS target, CASE WHEN s.title_id IS NOT NULL THEN 'exact' WHEN p.title_id IS NOT NULL THEN 'prefix' END AS by FROM t LEFT JOIN s ON s.slug = t.slug LEFT JOIN p ON length(t.slug) >= 6 AND p.head = substr(t.slug, 1, 6)""")
+s AS (SELECT slug, min(title_id) AS title_id FROM o GROUP BY 1), p AS (SELECT k.slug, min(o.title_id) AS title_id FROM (SELECT DISTINCT slug FROM t) k JOIN o ON length(k.slug) >= 6 AND starts_with(o.slug, k.slug) GROUP BY 1)
+SELECT t.note, t.slug, coalesce(s.title_id, p.title_id) AS target, CASE WHEN s.title_id IS NOT NULL THEN 'exact' WHEN p.title_id IS NOT NULL THEN 'prefix' END AS by FROM t LEFT JOIN s ON s.slug = t.slug LEFT JOIN p ON p.slug = t.slug""")
 def resolved_anchors(spark: SparkSession, sf: str) -> DataFrame:
-    """Headings looked up among the topics: by the whole slug, else by its first six characters; the first wins. Both are equi-joins."""
+    """Headings looked up among the topics: by the whole slug, else the first that begins with it, if it has six characters.
+
+    The prefix step is an equi-join of distinct slugs on six characters; what begins otherwise falls away behind it.
+    """
     slug = lambda c: F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), "^-+|-+$", "")
     e = table(spark, sf, "export_editions").dropDuplicates(["edition_id"])
     t = e.select("note", F.explode(F.regexp_extract_all(F.coalesce("body", F.lit("")), F.lit("<h2[^>]*>([^<]*)</h2>"), F.lit(1))).alias("heading")).select("note", slug(F.col("heading")).alias("slug")).distinct()
     o = table(spark, sf, "official_titles").select("title_id", slug(F.col("topic")).alias("os"))
     s = o.groupBy("os").agg(F.min("title_id").alias("s"))
-    p = o.where(F.length("os") >= 6).groupBy(F.substring("os", 1, 6).alias("head")).agg(F.min("title_id").alias("p"))
-    j = t.join(s, F.col("slug") == F.col("os"), "left").join(p, (F.length("slug") >= 6) & (F.substring("slug", 1, 6) == F.col("head")), "left")
+    head = lambda c: F.substring(c, 1, 6)
+    k = t.where(F.length("slug") >= 6).select(F.col("slug").alias("ks")).distinct().join(o.select(F.col("os").alias("po"), "title_id"), head(F.col("ks")) == head(F.col("po")))
+    p = k.where(F.col("po").startswith(F.col("ks"))).groupBy("ks").agg(F.min("title_id").alias("p"))
+    j = t.join(s, F.col("slug") == F.col("os"), "left").join(p, F.col("slug") == F.col("ks"), "left")
     return j.select("note", "slug", F.coalesce("s", "p").alias("target"), F.when(F.col("s").isNotNull(), "exact").when(F.col("p").isNotNull(), "prefix").alias("by"))
 
 
@@ -123,10 +129,9 @@ SELECT source, max(n) AS documents, max(CASE WHEN i = CAST(floor(n * 0.5) AS BIG
 def length_table(spark: SparkSession, sf: str) -> DataFrame:
     """The standard table of a measure: rank quantiles and counts over a threshold."""
     s = table(spark, sf, "documents").where("n_chars IS NOT NULL").select("source", F.col("n_chars").alias("v"))
-    w = Window.partitionBy("source")
-    r = s.withColumns({"i": F.row_number().over(w.orderBy("v")) - 1, "n": F.count("*").over(w)})
-    at = lambda q: F.max(F.when(F.col("i") == F.least(F.floor(F.col("n") * q), F.col("n") - 1), F.col("v")))
-    return r.groupBy("source").agg(F.max("n").alias("documents"), at(0.5).alias("median"), at(0.9).alias("tenth"), F.max("v").alias("most"), F.count_if(F.col("v") > 5000).alias("long_ones"))
+    q = R.rank_quantiles(s, ["source"], "v", {"median": 0.5, "tenth": 0.9}).withColumnRenamed("source", "s")
+    n = s.groupBy("source").agg(F.count("*").alias("documents"), F.max("v").alias("most"), F.count_if(F.col("v") > 5000).alias("long_ones"))
+    return n.join(q, F.col("source").eqNullSafe(F.col("s"))).select("source", "documents", "median", "tenth", "most", "long_ones")
 
 
 @query("CMP-04 CMP-03 CMP-14", "SELECT doc_id, len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND w[i + 1] = 'the')) AS plain, (SELECT count(*) FROM (SELECT unnest(regexp_extract_all(lower(coalesce(t, '')), '[^a-z]of the[^a-z]')))) AS raw FROM (SELECT doc_id, text AS t, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS w FROM documents)")

@@ -87,3 +87,26 @@ def test_edges(spark):
         1: "2021-10-31T00:30:00+00:00", 2: "2021-03-28T01:30:00+00:00", 7: "2020-03-04T15:00:00+00:00", 9: "2021-11-07T06:30:00+00:00", 10: "2021-11-07T05:30:00+00:00", 12: "2020-01-01T00:00:00.123456+00:00", 14: "2020-06-01T09:00:00.123456+00:00",
     }
     assert I.stamp_cases(df.limit(0), "stamp", "id", src).count() == 0
+
+
+def test_every_year(spark):
+    """Years before and after those with changes of their own: nothing vanishes, and offsets are those of the zone's standing rule."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    r = random.Random(1)
+    zones = ["Europe/London", "Europe/Berlin", "America/New_York", "Australia/Lord_Howe", "Africa/Casablanca", "America/Sao_Paulo", "Pacific/Apia", "no/where", None]
+    fixed = [("1985-07-01 12:00:00", "Europe/London"), ("1985-07-01 12:00:00", None), ("1970-01-01 12:00:00", "Europe/London"), ("2070-07-01 12:00:00", "Europe/London"), ("1988-03-05 00:00:00", "Europe/Berlin")]
+    rows = [(i, t, z) for i, (t, z) in enumerate(fixed)]
+    for i in range(len(rows), 1500):
+        d = datetime(r.choice([1000, 1834, 1900, 1988, 2037, 2087, 2100, 2101, 2128, 2129, 2400, 9998, r.randrange(1840, 2600)]), r.randrange(1, 13), r.randrange(1, 29), r.randrange(24), r.randrange(60))
+        rows.append((i, d.strftime("%Y-%m-%d %H:%M:%S"), r.choice(zones)))
+    df = spark.createDataFrame(rows, "i int, t string, z string")
+    for known in (None, [z for z in zones if z]):
+        got = {x.i: x.utc_us for x in I.with_instant(df, "t", F.col("z"), F.lit(True), zones=known).collect()}
+        for i, t, z in rows:
+            d = datetime.strptime(t, "%Y-%m-%d %H:%M:%S")
+            off = d.replace(tzinfo=ZoneInfo("Etc/UTC" if z in (None, "no/where") else z), fold=0).utcoffset()
+            assert got[i] == (d - datetime(1970, 1, 1) - timedelta(seconds=int(off.total_seconds()))) // timedelta(microseconds=1), (t, z)
+    assert got[3] == 3171438000000000 and got[1] == 489067200000000

@@ -118,12 +118,27 @@ def test_components(spark):
     got = {x.node: x.component for x in R.components(spark.createDataFrame(edges, "u int, v int"), "u", "v").collect()}
     assert got == {x: root(x) for x in parent}
     assert R.components(spark.createDataFrame([], "u int, v int"), "u", "v").count() == 0
+    long = [(i, i + 1) for i in range(400)] + [(1000, i) for i in range(1001, 1200)]  # a chain and a hub
+    got = {x.node: x.component for x in R.components(spark.createDataFrame(long, "u int, v int"), "u", "v").collect()}
+    assert set(got.values()) == {0, 1000} and len(got) == 601
 
 
 def test_greedy_and_unique(spark):
     rows = [(1, "a", "x", 0.9), (1, "a", "y", 0.8), (1, "b", "x", 0.85), (1, "b", "y", 0.1), (2, "a", "x", 0.5)]
     got = sorted(map(tuple, R.greedy_pairs(spark.createDataFrame(rows, "g int, a string, b string, s double"), "g", "a", "b", "s").collect()))
     assert got == [(1, "a", "x", 0.9), (1, "b", "y", 0.1), (2, "a", "x", 0.5)]
+    r = random.Random(7)
+    rows = list({(x[0], x[1], x[2]): x for x in ((r.choice([None, 1, 2]), r.randrange(15), r.randrange(15), r.choice([None, 0.1, 0.5, 0.5, 0.9])) for _ in range(250))}.values())
+    taken, want = set(), []
+    for g, a, b, x in sorted(rows, key=lambda x: (x[3] is None, -(x[3] or 0), x[1], x[2])):
+        if ("a", g, a) not in taken and ("b", g, b) not in taken:
+            taken |= {("a", g, a), ("b", g, b)}
+            want.append((g, a, b, x))
+    df = spark.createDataFrame(rows, "g int, a int, b int, s double")
+    assert set(map(tuple, R.greedy_pairs(df, "g", "a", "b", "s").collect())) == set(want)
+    assert R.greedy_pairs(df.limit(0), "g", "a", "b", "s").count() == 0
+    q = R.top_k_with_overflow(spark.createDataFrame([(None, 3), (None, 1), (None, 2), (1, 5)], "k int, v int"), ["k"], [F.col("v")], 2)
+    assert sorted((str(x.k), x.v, x.place, x.overflow) for x in q.collect()) == [("1", 5, 1, 0), ("None", 1, 1, 1), ("None", 2, 2, 1)]
     q = R.rank_quantiles(spark.createDataFrame([(1, float(i)) for i in range(10)] + [(1, None)], "k int, v double"), ["k"], "v", {"a": 0.5, "b": 1.0})
     assert [tuple(x) for x in q.collect()] == [(1, 5.0, 9.0)]
 
@@ -355,6 +370,7 @@ def test_figures_and_quotes():
     from palimpsest.operators import numbers as M
 
     assert M.as_digits("three hundred and forty-two people, one of 1,234 and one million, twenty one") == "342 people, one of 1234 and 1 million, 21"
+    assert M.as_digits("One hundred, five hundred and that; ninety-nine x twenty zero one_two seven7 two  hundred") == "100, 500 and that; 99 x 20 0 one_two seven7 2  hundred"
     assert M.as_digits("someone nineteen hundred 1,23") == "someone 19 hundred 1,23"
     text = "aa quote here bb ... cc quote here dd"
     assert M.locate(text, "quote here", "cc ", " dd", 0) == text.rindex("quote")
