@@ -1,16 +1,18 @@
 """Subjects of documents by anchored non-negative factorisation of the document-term matrix.
 
 Rows of the matrix are documents, columns words. Each sentence spreads a weight of one over its telling words, so that a row sums to the
-document's sentences; a sentence without telling words weighs on one column of its own. Components are anchored: one for each subject, and
-one background that all share. They are fitted by seeded alternating multiplicative updates (Kullback-Leibler) on the labelled examples,
-pooled to a row for each subject, whose mixture may hold only its own component and the background (zeros stay zero). With a row for each
-example the background could take whole languages of a subject. All documents are then factored with these components, so that a row's
-mixture is the document's mixture of subjects by sentences.
+document's sentences; a sentence without telling words weighs on one column of its own. V is factored into mixtures W and components H by
+seeded alternating multiplicative updates for the Kullback-Leibler divergence, which keep zeros zero. Components are anchored by their zeros:
 
-The fit sees at most MOST_SAMPLES labelled rows (by smallest hash). A further round over all documents then updates the components: sentences
-that the examples' words place are counted by word and subject, partition by partition, and words that the whole corpus keeps to one subject
-become telling, while words that it spreads over several lose it. Everything but the fit covers all documents and whole texts. The model,
-at most MOST_WORDS words by some twenty components, is the only thing broadcast.
+* on labelled examples, a row for each of them, a mixture may hold its own subject and the background, a subject's component only words of
+  its own examples, and the background only words that several subjects share, so that it can't take a language of one subject;
+* on the corpus, a row for each document, components go on from there. Numerators of the update are summed within partitions, then by word.
+  A word that isn't telling yet follows the other words of its sentences: its numerators are its sentences' weights by component. After a
+  round, words that one subject holds are telling, and words that several hold are not.
+
+The corpus is read and split into words once; the matrix is a written table of word hashes, and each round is arithmetic on arrays. The fit on
+examples sees at most MOST_SAMPLES rows (by smallest hash); all else covers every document. A telling word has at least 1 / RAREST of all
+sentences of known subject, so there are at most RAREST x (words a sentence) of them; nothing else is broadcast or collected.
 
 Sentences end with . ! ? or their counterparts. Headings, numbering, greetings and speaker marks are no sentences of their own.
 
@@ -21,7 +23,6 @@ no document has a subject; equal shares all count.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from html import unescape
 
 import numpy as np
@@ -31,31 +32,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.lookalike import PLAIN, by_table
-from palimpsest.session import once, spread
+from palimpsest.session import once, spread, written
 
 MOST_SAMPLES = 20_000
-ROUNDS, FOLD_ROUNDS = 200, 12
+ROUNDS, FOLD_ROUNDS, CORPUS_ROUNDS = 80, 12, 2
 SEED = 20_240_517
 SHARE = 0.25
-#: A word is telling if its subject components hold at least this part of it, and one subject this part of those and of its sentences.
-TELLING = 0.6
-#: Least sentences of known subject for a word that the corpus makes telling, and the least part of them that one subject must have.
-SENTENCES, PURE, SPREAD = 20, 0.75, 0.5
-#: A telling word's sentences of known subject are at least this part of all its sentences.
-KNOWN = 0.3
-MOST_WORDS = 200_000
+#: In the fit on examples: part of a word's weight that subjects hold, and that one subject holds of it; least examples with the word.
+TELLING, EXAMPLES = 0.6, 3
+#: The background may hold words that at least this many subjects' examples share.
+SHARED_BY = 3
+#: In the corpus: part of a word's weight that one subject must have (to become telling, and to stay so), and that known subjects must have.
+PURE, STAYS, KNOWN = 0.75, 0.5, 0.3
+#: Part of its largest weight that a telling word starts a round with in each subject, so that updates can move it there; less than LEAST is dropped after it.
+FLOOR, LEAST = 0.05, 0.05
+#: Sentences of no subject that every word is credited with, so that a few sentences prove nothing.
+PRIOR = 6
+#: A telling word has at least this part of all sentences of known subject.
+RAREST = 20_000
+MOST_WORDS = 2_000_000
 
 CLOSED = re.compile(r"[.!?。！？؟।…][\"'”’»“‘)\]]*$")
+#: Full stops of scripts that put no blank after them (fixed values), and words of such scripts.
+INNER_STOP = re.compile("([。！？])(?=[^\\s\"'”’»)\\]])")
+UNSPACED = re.compile("[฀-໿က-႟ក-៿぀-ヿ㐀-鿿]{4,}")
 WORD = re.compile(r"[^\W\d_]+(?:[-’'][^\W\d_]+)*")
 HEADING = re.compile(r"^[ \t]*#.*$", re.M)
 KEPT_TOKENS = 500_000
+#: Stand for no word: all sentences together, and sentences without telling words.
+TOTAL = -(1 << 63)
 
 
 def tokens_of(text: str) -> list[str]:
     """What stands between blanks; headings are left out, entities decoded, look-alike characters brought to one form."""
     t = unescape(text) if "&" in text else text
     if PLAIN.search(t):
-        t = by_table(t)
+        t = INNER_STOP.sub(r"\1 ", by_table(t))
     return (HEADING.sub("", t) if "#" in t else t).split()
 
 
@@ -63,229 +75,239 @@ def words(token: str) -> list[str]:
     return WORD.findall(token.lower())
 
 
-class Tokens(dict):
-    """token -> (columns of its telling words, whether it ends a sentence), or None if neither."""
+def word_hash(word: str) -> int:
+    h = xxhash.xxh3_64_intdigest(word)
+    return h - (1 << 64) if h >= 1 << 63 else h
 
-    def __init__(self, columns: dict[str, int]):
-        self.columns = columns
+
+class Tokens(dict):
+    """token -> (hashes of its words, whether it ends a sentence, whether it may be a sentence alone)."""
 
     def __missing__(self, token: str):
         if len(self) >= KEPT_TOKENS:
             self.clear()
-        cols = tuple(c for c in map(self.columns.get, words(token)) if c is not None)
-        end = CLOSED.search(token) is not None
-        v = self[token] = (cols, end) if cols or end else None
+        v = self[token] = (tuple(map(word_hash, words(token))), CLOSED.search(token) is not None, UNSPACED.search(token) is not None)
         return v
 
 
-def sentences(tokens: list[str], known: Tokens) -> list[tuple[int, int, list[int]]]:
-    """(start, end, columns of telling words) of each sentence. One token alone (numbering, a mark) is none, nor is an end without a stop."""
-    out, last, hits = [], 0, []
-    for i, e in enumerate(map(known.__getitem__, tokens)):
-        if e is not None:
-            hits.extend(e[0])
-            if e[1]:
-                if i > last:
-                    out.append((last, i + 1, hits))
-                last, hits = i + 1, []
-    return out
-
-
-def sentence_words(text: str | None) -> list[list[str]]:
-    tokens = tokens_of(text) if text else []
-    return [[w for t in tokens[a:b] for w in words(t)] for a, b, _ in sentences(tokens, Tokens({}))]
+def sentences(text: str | None, known: Tokens) -> tuple[list[int], list[int]]:
+    """(hashes of the words of all sentences, end of each sentence in them). One token alone (numbering, a mark) is no sentence, nor is one without a stop."""
+    hashes: list[int] = []
+    ends: list[int] = []
+    if not text:
+        return hashes, ends
+    last, begun = 0, 0
+    for i, (hs, closed, alone) in enumerate(map(known.__getitem__, tokens_of(text))):
+        hashes.extend(hs)
+        if closed:
+            if i > last or alone:
+                ends.append(len(hashes))
+                begun = len(hashes)
+            else:
+                del hashes[begun:]
+            last = i + 1
+    del hashes[begun:]
+    return hashes, ends
 
 
 class Model:
-    """`columns`: word -> column; `h`: components x columns, rows sum to one; the last column is that of sentences without telling words."""
+    """`columns`: sorted hashes of the telling words; `h`: components x (columns + 1), rows sum to one; the last column and component are those of sentences without telling words."""
 
-    def __init__(self, subjects: list[str], columns: dict[str, int], h: np.ndarray):
+    def __init__(self, subjects: list[str], columns: np.ndarray, h: np.ndarray):
         self.subjects, self.columns, self.h = subjects, columns, h
 
 
-def update(v: np.ndarray, w: np.ndarray, h: np.ndarray, fixed_h: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """One round of alternating multiplicative updates for the Kullback-Leibler divergence; zeros stay zero."""
-    tiny = 1e-12
-    w = w * ((v / (w @ h + tiny)) @ h.T) / (h.sum(1) + tiny)
-    if not fixed_h:
-        h = h * (w.T @ (v / (w @ h + tiny))) / (w.sum(0)[:, None] + tiny)
-    return w, h
+def model(subjects: list[str], weights: dict[int, np.ndarray]) -> Model:
+    """`weights`: word hash -> weight by subject."""
+    names = np.array(sorted(weights), np.int64)
+    h = np.zeros((len(subjects) + 1, len(names) + 1))
+    for i, w in enumerate(names.tolist()):
+        h[:-1, i] = weights[w]
+    h[-1, -1] = 1
+    return Model(subjects, names, h / (h.sum(1, keepdims=True) + 1e-12))
+
+
+class Entries:
+    """Non-zero entries of some rows of the matrix: row, column, value, sentence; and the sentences' rows."""
+
+    def __init__(self, hashes: np.ndarray, ends: list[np.ndarray], columns: np.ndarray):
+        per = np.fromiter(map(len, ends), np.int64, len(ends))
+        flat = np.concatenate(ends) if len(ends) else np.zeros(0, np.int64)
+        self.rows, self.sentence_row = len(ends), np.repeat(np.arange(len(ends)), per)
+        self.sentences = per
+        # ends count from each text's beginning
+        first = np.ones(len(flat), bool)
+        first[1:] = self.sentence_row[1:] != self.sentence_row[:-1]
+        before = np.where(first, 0, np.concatenate(([0], flat[:-1])) if len(flat) else flat)
+        self.word_sentence = np.repeat(np.arange(len(flat)), flat - before)
+        self.words = hashes
+        at = np.searchsorted(columns, hashes)
+        at[at == len(columns)] = 0
+        self.telling = columns[at] == hashes if len(columns) else np.zeros(len(hashes), bool)
+        col, sent = at[self.telling], self.word_sentence[self.telling]
+        count = np.bincount(sent, minlength=len(flat))
+        none = np.flatnonzero(count == 0)
+        sent = np.concatenate((sent, none))
+        order = np.argsort(sent, kind="stable")
+        self.sentence = sent[order]
+        self.column = np.concatenate((col, np.full(len(none), len(columns))))[order]
+        self.value = 1.0 / np.maximum(count[self.sentence], 1)
+        self.row = self.sentence_row[self.sentence]
+
+
+def folded(e: Entries, h: np.ndarray, rounds: int = FOLD_ROUNDS) -> np.ndarray:
+    """Mixtures of the rows by multiplicative updates with the components fixed; a row's mixture sums to its sentences."""
+    hk = h.T[e.column]
+    w = np.ones((e.rows, h.shape[0]))
+    for _ in range(rounds):
+        g = hk * (e.value / np.maximum((hk * w[e.row]).sum(1), 1e-12))[:, None]
+        w *= np.stack([np.bincount(e.row, g[:, k], e.rows) for k in range(h.shape[0])], axis=1)
+    return w
+
+
+def numerators(e: Entries, w: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word hashes, their numerators by component, weights of all sentences by component) of one update of the components.
+
+    A telling word's are those of the update, H x (W' V / WH). Another word's are the weights of the sentences it stands in, once for each.
+    """
+    part = h.T[e.column] * w[e.row]
+    part *= (e.value / np.maximum(part.sum(1), 1e-12))[:, None]
+    by_sentence = np.stack([np.bincount(e.sentence, part[:, k], len(e.sentence_row)) for k in range(h.shape[0])], axis=1) if len(part) else np.zeros((len(e.sentence_row), h.shape[0]))
+    other = ~e.telling
+    # each word once a sentence
+    pair = np.unique(np.stack((e.words[other], e.word_sentence[other])), axis=1)
+    names, at = np.unique(pair[0], return_inverse=True)
+    more = np.stack([np.bincount(at, by_sentence[pair[1], k], len(names)) for k in range(h.shape[0])], axis=1)
+    own = np.stack([np.bincount(e.column, part[:, k], h.shape[1]) for k in range(h.shape[0])], axis=1)
+    return names, more, own
+
+
+def entries(texts: list[str | None], columns: np.ndarray, known: Tokens) -> Entries:
+    rows = [sentences(t, known) for t in texts]
+    return Entries(np.array([x for hs, _ in rows for x in hs], np.int64), [np.array(e, np.int64) for _, e in rows], columns)
 
 
 def fit(samples: list[tuple[str, str]], rounds: int = ROUNDS) -> Model:
-    """`samples`: (subject, text)."""
+    """The model of labelled examples: (subject, text)."""
     subjects = sorted({s for s, _ in samples})
-    texts = [sentence_words(t) for _, t in samples]
-    vocabulary = sorted({w for t in texts for s in t for w in s})
-    if not subjects or not vocabulary:
-        return Model([], {}, np.zeros((0, 1)))
-    at = {w: i for i, w in enumerate(vocabulary)}
-    n = len(subjects)
-    v, seen = np.zeros((n, len(vocabulary))), np.zeros(len(vocabulary))
-    for (subject, _), t in zip(samples, texts, strict=True):
-        for s in t:
-            for w in set(s):
-                v[subjects.index(subject), at[w]] += 1
-        for w in {w for s in t for w in s}:
-            seen[at[w]] += 1
+    known = Tokens()
+    texts = [t for _, t in samples]
+    vocabulary = np.unique(np.array([x for t in texts for x in sentences(t, known)[0]], np.int64))
+    k = len(subjects)
+    if not k or not len(vocabulary):
+        return Model([], np.zeros(0, np.int64), np.zeros((0, 1)))
+    e = entries(texts, vocabulary, known)
+    inside = e.column < len(vocabulary)
+    # a word's entries: once a sentence, whole
+    cell = np.unique(np.stack((e.sentence[inside], e.column[inside])), axis=1)
+    row, col = e.sentence_row[cell[0]], cell[1]
+    code, value = np.unique(row * len(vocabulary) + col, return_counts=True)
+    row, col = code // len(vocabulary), code % len(vocabulary)
+    label = np.array([subjects.index(s) for s, _ in samples])
+    has = np.zeros((k + 1, len(vocabulary)), bool)
+    has[label[row], col] = True
+    several = has[:k].sum(0)
+    has[k] = several >= min(SHARED_BY, k)
     rng = np.random.default_rng(SEED)
-    w, h = rng.uniform(0.5, 1.5, (n, n + 1)), rng.uniform(0.5, 1.5, (n + 1, len(vocabulary)))
-    w[:, :n] *= np.eye(n)
+    h = rng.uniform(0.5, 1.5, has.shape) * has
+    h /= h.sum(1, keepdims=True) + 1e-12
+    w = np.zeros((len(samples), k + 1))
+    w[np.arange(len(samples)), label] = rng.uniform(0.5, 1.5, len(samples))
+    w[:, k] = rng.uniform(0.5, 1.5, len(samples))
+    spread_over = lambda g, at, n: np.stack([np.bincount(at, g[:, x], n) for x in range(k + 1)], axis=1)
     for _ in range(rounds):
-        w, h = update(v, w, h)
-        scale = h.sum(1, keepdims=True) + 1e-12
-        h, w = h / scale, w * scale[:, 0]
+        hk = h.T[col]
+        w = w * spread_over(hk * (value / np.maximum((hk * w[row]).sum(1), 1e-12))[:, None], row, len(samples))
+        wk = w[row]
+        h = h * spread_over(wk * (value / np.maximum((hk * wk).sum(1), 1e-12))[:, None], col, len(vocabulary)).T
+        h = h / (h.sum(1, keepdims=True) + 1e-12)
     mass = h * w.sum(0)[:, None]
-    part = mass / (mass.sum(0) + 1e-12)
-    own = part[: len(subjects)]
-    # evidence in single examples counts little: a word seen once or twice may be anything
-    telling = (own.sum(0) >= TELLING) & (own.max(0) >= TELLING * own.sum(0)) & (v.max(0) >= TELLING * v.sum(0)) & (seen >= 3)
-    keep = np.flatnonzero(telling)
-    columns = {vocabulary[j]: i for i, j in enumerate(keep)}
-    # the components over telling words, and one for sentences without any
-    small = np.zeros((len(subjects) + 1, len(keep) + 1))
-    small[:-1, :-1] = mass[: len(subjects), keep]
-    small[-1, -1] = 1
-    small /= small.sum(1, keepdims=True) + 1e-12
-    return Model(subjects, columns, small)
-
-
-def sentence_weights(text: str | None, known: Tokens) -> tuple[dict[int, float], int]:
-    """The document's row of the matrix and its number of sentences."""
-    row: dict[int, float] = {}
-    none = len(known.columns)
-    found = sentences(tokens_of(text), known) if text else []
-    for _, _, hits in found:
-        if hits:
-            x = 1 / len(hits)
-            for c in hits:
-                row[c] = row.get(c, 0.0) + x
-        else:
-            row[none] = row.get(none, 0.0) + 1
-    return row, len(found)
-
-
-def mixtures(rows: list[dict[int, float]], h: np.ndarray, rounds: int = FOLD_ROUNDS) -> np.ndarray:
-    """Mixtures (documents x components) of sparse rows with the components fixed."""
-    lens = np.fromiter(map(len, rows), np.int64, len(rows))
-    doc = np.repeat(np.arange(len(rows)), lens)
-    col = np.fromiter((c for r in rows for c in r), np.int64, len(doc))
-    val = np.fromiter((x for r in rows for x in r.values()), np.float32, len(doc))
-    hk = h.T.astype(np.float32)[col]
-    w = np.ones((len(rows), h.shape[0]), np.float32)
-    cut = np.cumsum(lens) - lens
-    some = lens > 0
-    for _ in range(rounds):
-        q = (hk * w[doc]).sum(1)
-        g = hk * (val / np.maximum(q, 1e-12))[:, None]
-        w[some] *= np.add.reduceat(g, cut[some], axis=0) if some.any() else 0
-    w[~some] = 0
-    return w
+    own = mass[:k]
+    part = own / (mass.sum(0) + 1e-12)
+    seen = np.bincount(col, minlength=len(vocabulary))
+    telling = (part.sum(0) >= TELLING) & (own.max(0) >= TELLING * own.sum(0)) & (seen >= EXAMPLES)
+    return model(subjects, {int(vocabulary[j]): own[:, j] for j in np.flatnonzero(telling)})
 
 
-def count_placed(texts, known: Tokens, best: list[int], plain: list[Counter], told: list[Counter]) -> None:
-    """Counts the tokens of each sentence under its subject (the last counter: none known), telling words by column apart.
+MATRIX = "k long, words array<long>, ends array<int>"
 
-    A sentence's subject is the one of its telling words, if all but a fifth of them have it. A telling word is judged by the other telling
-    words of its sentence alone, or it would bear witness for itself.
-    """
-    for t in texts:
-        if not t:
-            continue
-        tokens = tokens_of(t)
-        for a, b, hits in sentences(tokens, known):
-            if not hits:
-                plain[-1].update(tokens[a:b])
-                continue
-            columns = set(hits)
-            kinds = {best[c] for c in columns}
-            if len(kinds) == 1:
-                one = best[hits[0]]
-                if len(columns) > 1:
-                    told[one].update(columns)
-            else:
-                found = [best[c] for c in hits]
-                one = max(sorted(kinds), key=found.count)
-                one = one if found.count(one) >= 0.8 * len(found) else -1
-                for c in columns:
-                    others = {best[x] for x in columns if x != c}
-                    told[others.pop() if len(others) == 1 else -1][c] += 1
-            plain[one].update(tokens[a:b])
-
-
-def counts_by_word(known: Tokens, plain: list[Counter], told: list[Counter]) -> dict[str, list[int]]:
-    """word -> counts by subject; empties the counters."""
-    names = list(known.columns)
-    rows: dict[str, list[int]] = {}
-    for i, c in enumerate(plain):
-        for token, n in c.items():
-            for w in words(token):
-                if w not in known.columns:
-                    rows.setdefault(w, [0] * len(plain))[i] += n
-        c.clear()
-    for i, c in enumerate(told):
-        for column, n in c.items():
-            rows.setdefault(names[column], [0] * len(plain))[i] += n
-        c.clear()
-    return rows
-
-
-def extended(m: Model, counts: dict[str, np.ndarray]) -> Model:
-    """The components after a round over the corpus. `counts`: word -> sentences by subject, those of no known subject last."""
-    k = len(m.subjects)
-    weight = {w: m.h[:-1, c] for w, c in m.columns.items()}
-    total = sum(m.h[:-1, :-1].sum(1)) if k else 0
-    mass = np.zeros(k)
-    for w in m.columns:
-        if w in counts:
-            mass += counts[w][:-1]
-    scale = total / mass.sum() if mass.sum() else 0
-    for w, c in counts.items():
-        n = c[:-1].sum()
-        if n < SENTENCES:
-            continue
-        pure = c[:-1].max() / n
-        if w in weight and pure < SPREAD:
-            del weight[w]
-        elif w in weight or (pure >= PURE and n >= KNOWN * c.sum()):
-            weight[w] = np.where(c[:-1] >= 0.05 * n, c[:-1], 0) * scale
-    names = sorted(weight)
-    h = np.zeros((k + 1, len(names) + 1))
-    for i, w in enumerate(names):
-        h[:-1, i] = weight[w]
-    h[-1, -1] = 1
-    return Model(m.subjects, {w: i for i, w in enumerate(names)}, h / (h.sum(1, keepdims=True) + 1e-12))
 
+def matrix(docs: DataFrame) -> DataFrame:
+    """`k`, `words` (hashes of the words of the text's sentences), `ends` (of each sentence in them), from `k`, `t`."""
+
+    def run(batches):
+        known = Tokens()
+        for b in batches:
+            rows = [sentences(t, known) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.list_(pa.int64())), pa.array([r[1] for r in rows], pa.list_(pa.int32()))], ["k", "words", "ends"])
+
+    return docs.mapInArrow(run, MATRIX)
 
-def word_counts(src: DataFrame, m: Model) -> dict[str, np.ndarray]:
-    """Sentences of each frequent word by subject, over all documents. Each partition counts first; words then merge by a shuffle."""
-    shared = src.sparkSession.sparkContext.broadcast(m)
+
+def _entries(b: pa.RecordBatch, columns: np.ndarray) -> Entries:
+    ends, words_ = b.column(2), b.column(1)
+    cuts = ends.offsets.to_numpy()
+    flat = ends.values.to_numpy().astype(np.int64)
+    hashes = words_.values.to_numpy()[words_.offsets[0].as_py() : words_.offsets[-1].as_py()]
+    return Entries(hashes, [flat[a:z] for a, z in zip(cuts[:-1], cuts[1:], strict=True)], columns)
+
+
+def updated(m: Model, rows: DataFrame) -> Model:
+    """The model after one update of the components over all rows of the matrix."""
+    spark = rows.sparkSession
     k = len(m.subjects)
+    h = m.h.copy()
+    h[:-1, :-1] = np.maximum(h[:-1, :-1], FLOOR * h[:-1, :-1].max(0))
+    m = Model(m.subjects, m.columns, h / (h.sum(1, keepdims=True) + 1e-12))
+    shared = spark.sparkContext.broadcast(m)
     names = [f"c{i}" for i in range(k + 1)]
+    schema = pa.schema([("word", pa.int64()), *[(n, pa.float64()) for n in names]])
 
     def run(batches):
         m = shared.value
-        known, best = Tokens(m.columns), m.h[:-1, :-1].argmax(0).tolist()
-        plain, told = [Counter() for _ in range(k + 1)], [Counter() for _ in range(k + 1)]
+        own, held = np.zeros((len(m.columns) + 1, k + 1)), []
 
-        def table():
-            rows = counts_by_word(known, plain, told)
-            return pa.RecordBatch.from_arrays([pa.array(rows.keys(), pa.string()), *[pa.array(x, pa.int64()) for x in (zip(*rows.values(), strict=True) if rows else [[]] * (k + 1))]], ["word", *names])
+        def table(x: np.ndarray, c: np.ndarray):
+            return pa.RecordBatch.from_arrays([pa.array(x), *[pa.array(np.ascontiguousarray(c[:, i])) for i in range(k + 1)]], schema=schema)
 
-        for b in batches:
-            count_placed(b.column(1).to_pylist(), known, best, plain, told)
-            if sum(map(len, plain)) > 500_000:
-                yield table()
-        yield table()
+        def merged():
+            x, at = np.unique(np.concatenate([a for a, _ in held]), return_inverse=True)
+            c = np.concatenate([c for _, c in held])
+            return x, np.stack([np.bincount(at, c[:, i], len(x)) for i in range(k + 1)], axis=1)
 
-    counted = src.mapInArrow(run, "word string, " + ", ".join(f"{n} long" for n in names)).groupBy("word").agg(*[F.sum(n).alias(n) for n in names])
-    known = sum(F.col(n) for n in names[:-1])
-    # only what can change the model comes to the driver: its own words, and words that one subject keeps
-    own = src.sparkSession.createDataFrame([(w,) for w in m.columns] or [("",)], "own string")
-    kept = (F.greatest(*names[:-1], F.lit(0)) >= PURE * known) & (known >= KNOWN * (known + F.col(names[-1])))
-    counted = counted.where((F.length("word") <= 64) & (known >= SENTENCES)).join(F.broadcast(own), F.col("word") == F.col("own"), "left").where(kept | F.col("own").isNotNull()).drop("own")
-    rows = counted.orderBy(known.desc(), "word").limit(MOST_WORDS).collect()
-    return {r[0]: np.array(r[1:], np.float64) for r in rows}
+        for b in batches:
+            e = _entries(b, m.columns)
+            x, c, o = numerators(e, folded(e, m.h), m.h)
+            own += o
+            held.append((x, c))
+            if sum(len(a) for a, _ in held) > 1_000_000:
+                held = [merged()]
+                if len(held[0][0]) > 500_000:
+                    yield table(*held.pop())
+        if held:
+            yield table(*merged())
+        # the update's numerators sum to the weights of all sentences
+        yield table(np.concatenate((m.columns, np.array([TOTAL]))), np.concatenate((own[:-1], own.sum(0)[None])))
+
+    counted = written(rows.mapInArrow(run, "word long, " + ", ".join(f"{n} double" for n in names)).groupBy("word").agg(*[F.sum(n).alias(n) for n in names]), "subject-words")
+    total = counted.where(F.col("word") == TOTAL).first()
+    if total is None:
+        return m
+    known, best = sum(F.col(n) for n in names[:-1]), F.greatest(*names[:-1], F.lit(0.0))
+    own = spark.createDataFrame([(int(w),) for w in m.columns] or [(TOTAL,)], "own long")
+    stays = F.col("own").isNotNull() & (best >= STAYS * known)
+    comes = F.col("own").isNull() & (best >= PURE * (known + PRIOR)) & (known >= KNOWN * (known + F.col(names[-1])))
+    # at least this weight each: their number is bounded by the words of a sentence, not by the corpus
+    least = sum(total[n] for n in names[:-1]) / RAREST
+    kept = counted.where(F.col("word") != TOTAL).join(F.broadcast(own), F.col("word") == F.col("own"), "left").where(stays | (comes & (known >= least))).drop("own")
+    found = kept.limit(MOST_WORDS + 1).collect()
+    if len(found) > MOST_WORDS:
+        raise ValueError("sentences of very many words: too many telling words for a model")
+    weights = {}
+    for r in found:
+        c = np.array(r[1 : k + 1])
+        weights[r[0]] = np.where(c >= LEAST * c.sum(), c, 0)
+    return model(m.subjects, weights)
 
 
 def model_of(samples: DataFrame) -> Model:
@@ -294,27 +316,30 @@ def model_of(samples: DataFrame) -> Model:
     return fit([(r.subject, r.text) for r in sorted(rows, key=lambda r: (r.subject, xxhash.xxh3_64_intdigest(r.text), r.text))])
 
 
+def shares_of(e: Entries, m: Model) -> np.ndarray:
+    """Rows x subjects: part of the row's sentences."""
+    return folded(e, m.h)[:, :-1] / np.maximum(e.sentences, 1)[:, None]
+
+
 def subject_shares(docs: DataFrame, samples: DataFrame, key: str = "doc_id", text: str = "text", least: float = SHARE) -> DataFrame:
     """`key`, `subject`, `share` of sentences, where it is at least `least`."""
     src = spread(once(docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")), "k"))
-    model = model_of(samples)
-    shared = docs.sparkSession.sparkContext.broadcast(extended(model, word_counts(src, model)) if model.subjects else model)
+    m = model_of(samples)
+    if not m.subjects:
+        return src.where("false").select(F.col("k").alias(key), F.lit("").alias("subject"), F.lit(0.0).alias("share"))
+    rows = written(matrix(src), "subject-matrix")
+    for _ in range(CORPUS_ROUNDS):
+        m = updated(m, rows)
+    shared = docs.sparkSession.sparkContext.broadcast(m)
 
     def run(batches):
         m = shared.value
-        known = Tokens(m.columns)
         for b in batches:
-            ids, found, share = [], [], []
-            if m.subjects:
-                rows, counts = zip(*(sentence_weights(t, known) for t in b.column(1).to_pylist()), strict=True) if b.num_rows else ((), ())
-                w = mixtures(list(rows), m.h)
-                part = w[:, :-1] / np.maximum(np.array(counts, np.float32)[:, None], 1)
-                i, j = np.nonzero(part >= least)
-                ids = pa.array(i).cast(pa.int32())
-                found, share = [m.subjects[x] for x in j], part[i, j].astype(np.float64)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(ids), pa.array(found, pa.string()), pa.array(share, pa.float64())], ["k", "subject", "share"])
-
-    return src.mapInArrow(run, "k long, subject string, share double").withColumnRenamed("k", key)
+            part = shares_of(_entries(b, m.columns), m)
+            i, j = np.nonzero(part >= least)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i, pa.int32())), pa.array([m.subjects[x] for x in j], pa.string()), pa.array(part[i, j])], ["k", "subject", "share"])
+
+    return rows.mapInArrow(run, "k long, subject string, share double").withColumnRenamed("k", key)
 
 
 def subjects(docs: DataFrame, samples: DataFrame, key: str = "doc_id", text: str = "text", least: float = SHARE) -> DataFrame:

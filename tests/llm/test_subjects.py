@@ -18,24 +18,47 @@ def samples(spark, r):
     return spark.createDataFrame(rows, "sample_id long, subject string, lang string, text string")
 
 
+def sentence_words(text):
+    """Last two words of each sentence, by their hashes."""
+    names = {S.word_hash(w): w for t in S.tokens_of(text or "") for w in S.words(t)}
+    hashes, ends = S.sentences(text, S.Tokens())
+    return [[names[x] for x in hashes[a:z]][-2:] for a, z in zip([0, *ends], ends, strict=False)]
+
+
 def test_sentences():
     t = "## Heading without end\nTo the desk,\n\nQ: It was cold in May. 3.1.2 “They left early,” said one.\r\n- A broken\nline ends here! 12. Second item follows.\nYours sincerely"
-    assert [w[-2:] for w in S.sentence_words(t)] == [["in", "may"], ["said", "one"], ["ends", "here"], ["item", "follows"]]
-    assert S.sentence_words("") == [] and S.sentence_words(None) == [] and S.sentence_words("No end") == [] and S.sentence_words("Word.") == []
+    assert sentence_words(t) == [["in", "may"], ["said", "one"], ["ends", "here"], ["item", "follows"]]
+    assert sentence_words("") == [] and sentence_words(None) == [] and sentence_words("No end") == [] and sentence_words("Word.") == []
+    assert [len(x) for x in sentence_words("法院审理了案件。球队赢得了比赛。")] == [1, 1]
 
 
 def test_updates_do_not_increase_divergence():
+    """Rounds of mixtures and components on made sentences: the divergence falls, zeros stay zero, weights sum to the sentences."""
     r = np.random.default_rng(1)
-    v = r.poisson(1.0, (20, 30)).astype(float)
-    w, h = r.uniform(0.5, 1.5, (20, 4)), r.uniform(0.5, 1.5, (4, 30))
-    w[:5, 0] = 0
-    kl = lambda: (np.where(v > 0, v * np.log(np.maximum(v, 1e-12) / (w @ h + 1e-12)), 0) - v + w @ h).sum()
-    last = kl()
-    for _ in range(20):
-        w, h = S.update(v, w, h)
-        assert kl() <= last + 1e-4
-        last = kl()
-    assert (w[:5, 0] == 0).all()
+    columns = np.arange(0, 60, 2)
+    texts = [[r.integers(0, 60, r.integers(1, 9)) for _ in range(r.integers(1, 7))] for _ in range(40)]
+    e = S.Entries(np.concatenate([w for t in texts for w in t]), [np.cumsum([len(w) for w in t]) for t in texts], columns)
+    assert np.isclose(np.bincount(e.row, e.value, e.rows), e.sentences).all()
+    v = np.zeros((e.rows, len(columns) + 1))
+    np.add.at(v, (e.row, e.column), e.value)
+    h = r.uniform(0.5, 1.5, (4, len(columns) + 1))
+    h[0, :5] = 0
+    h /= h.sum(1, keepdims=True)
+    kl = lambda w, h: (np.where(v > 0, v * np.log(np.maximum(v, 1e-12) / (w @ h + 1e-12)), 0) - v + w @ h).sum()
+    last = np.inf
+    for _ in range(15):
+        w = S.folded(e, h, 3)
+        assert kl(w, h) <= last + 1e-6
+        names, more, own = S.numerators(e, w, h)
+        # the update of the whole matrix, plainly
+        assert np.allclose(own, (h * (w.T @ (v / (w @ h + 1e-12)))).T)
+        assert set(names) == {x for t in texts for s in t for x in s if x % 2}
+        x = int(names[3])
+        q = w[:, None, :] * h.T[None] * (v / np.maximum(w @ h, 1e-12))[:, :, None]
+        assert np.isclose(more.sum(), sum(len({x for x in s.tolist() if x % 2}) for t in texts for s in t)) and np.isclose(more[3].sum(), sum(x in s for t in texts for s in t)) and np.isclose(q.sum(), v.sum())
+        last = kl(w, h)
+        h = own.T / own.sum(0)[:, None]
+        assert (h[0, :5] == 0).all()
 
 
 def test_planted(spark):
@@ -60,18 +83,26 @@ def test_planted(spark):
 
 
 def test_held_out(spark, sf):
-    """Examples that the fit hasn't seen are recognised, the better with a round over the corpus."""
+    """Examples that the fit hasn't seen are recognised, the better with rounds over the corpus."""
     by_kind: dict = {}
     for x in sorted(table(spark, sf, "subject_samples").collect()):  # ids are dealt to languages in turn: hold out within each
         by_kind.setdefault((x.subject, x.lang), []).append((x.sample_id, x.subject, x.text))
     train, held = [x for g in by_kind.values() for i, x in enumerate(g) if i % 4], [x for g in by_kind.values() for x in g[::4]]
 
     def right(m):
-        w = S.mixtures([S.sentence_weights(t, S.Tokens(m.columns))[0] for _, _, t in held], m.h)
-        return sum(m.subjects[int(p[:-1].argmax())] == s for p, (_, s, _) in zip(w, held, strict=True)) / len(held)
+        p = S.shares_of(S.entries([t for _, _, t in held], m.columns, S.Tokens()), m)
+        return sum(m.subjects[int(x.argmax())] == s for x, (_, s, _) in zip(p, held, strict=True)) / len(held)
 
     m = S.fit([(s, t) for _, s, t in train])
     alone = right(m)
-    src = table(spark, sf.replace("sf0.001", "sf0.01"), "documents").selectExpr("doc_id AS k", "text AS t")
-    after = right(S.extended(m, S.word_counts(src, m)))
+    rows = S.matrix(table(spark, sf.replace("sf0.001", "sf0.01"), "documents").selectExpr("doc_id AS k", "text AS t")).cache()
+    after = right(S.updated(S.updated(m, rows), rows))
     assert alone >= 0.97 and after >= 0.97 and after >= alone, (alone, after)
+
+
+def test_independent_of_partitions(spark, sf):
+    """Sums of numerators don't depend on how the rows are dealt out."""
+    docs, examples = table(spark, sf, "documents"), table(spark, sf, "subject_samples")
+    m, src = S.model_of(examples), docs.selectExpr("doc_id AS k", "text AS t")
+    a, b = (S.updated(m, S.matrix(src.repartition(n))) for n in (1, 7))
+    assert (a.columns == b.columns).all() and np.allclose(a.h, b.h)
