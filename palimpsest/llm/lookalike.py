@@ -1,9 +1,9 @@
 """Text that looks the same but is made of other characters, brought to one form.
 
-Two ways lead to a word's form. A trie of known spellings is walked by a weighted edit automaton: look-alike letters, other widths, joined
-letters and separate accents cost nothing, as do ignorable characters; any other edit costs 1 and the budget (0 by default) bounds it. Where
-the walk ends in a known spelling, that spelling is the form. Words that match none are normalised by the table alone. The table and the
-automaton share one image of each character, so both ways give equal forms for equal looks.
+A trie of known spellings, written as they are, is walked by a weighted edit automaton over the text as it is written: look-alike letters,
+other widths, joined letters and separate accents cost nothing, as do ignorable characters; any other edit costs 1 and the budget (0 by
+default) bounds it. Where the walk ends in a known spelling, that spelling is the word's form, whatever alphabet it is written in. Words
+that match none are normalised by the table of characters alone. Equal looks have equal forms: known spellings that look the same are one.
 
 Left out: width, composed or separate accents, invisible characters, kinds of blank and hyphen, joined letters, letters of one shape in
 different alphabets. Kept: case, missing accents, other letters, punctuation, digits, superscripts.
@@ -90,85 +90,131 @@ def by_table(text: str) -> str:
 
 
 class Trie:
-    """Known spellings, each under the images of its characters."""
+    """Known spellings, letter by letter as they are written (accents apart), walked by a weighted edit automaton.
+
+    A state is a node, what is still to be read of the edge that led to it, and the least cost. Reading a letter costs nothing along an edge
+    that looks the same, whichever of the two is the look-alike; a letter that shows as several (or the other way round) takes several
+    steps; ignorable letters and edges cost nothing. A letter too many, missing or other costs 1, within the budget.
+    """
 
     def __init__(self, spellings: dict[str, object]):
         self.root: dict = {}
+        self.follow: dict[int, dict[str, list[tuple[dict, str]]]] = {}
+        self.silent: dict[int, list[dict]] = {}
+        #: Form by the table -> value, of spellings that the table would write otherwise.
+        self.foreign = {by_table(w): v for w, v in sorted(spellings.items(), reverse=True) if by_table(w) != unicodedata.normalize("NFC", w)}
         for word in sorted(spellings):
             node = self.root
-            for c in self._units(word):
+            for c in unicodedata.normalize("NFD", word):
                 node = node.setdefault(c, {})
             node.setdefault(None, spellings[word])
 
-    @staticmethod
-    def _units(text: str) -> str:
-        return unicodedata.normalize("NFD", text.translate(images()))
+    def edges(self, node: dict) -> dict[str, list[tuple[dict, str]]]:
+        """First shown letter -> (next node, shown letters left) of the node's edges."""
+        found = self.follow.get(id(node))
+        if found is None:
+            found = self.follow[id(node)] = {}
+            for c, m in node.items():
+                if c is not None and (shown := look(c)):
+                    found.setdefault(shown[0], []).append((m, shown[1:]))
+            self.silent[id(node)] = [m for c, m in node.items() if c is not None and not look(c)]
+        return found
+
+    def reached(self, states: list[tuple[dict, str, int]], budget: int) -> dict[tuple[int, str], tuple[dict, str, int]]:
+        """The states and all that are reached from them without reading: over ignorable edges, and over letters left out."""
+        out: dict[tuple[int, str], tuple[dict, str, int]] = {}
+        while states:
+            node, rest, cost = states.pop()
+            at = (id(node), rest)
+            if cost > budget or (at in out and out[at][2] <= cost):
+                continue
+            out[at] = (node, rest, cost)
+            if rest:
+                if cost < budget:
+                    states.append((node, rest[1:], cost + 1))
+                continue
+            edges = self.edges(node)
+            states.extend((m, "", cost) for m in self.silent[id(node)])
+            if cost < budget:
+                states.extend((m, left, cost + 1) for found in edges.values() for m, left in found)
+        return out
 
     def walk(self, text: str, budget: int = 0):
-        """Values of the spellings nearest to `text`, none farther than `budget`: (cost, value) or None."""
-        units = self._units(text)
-        if budget == 0:
-            node = self.root
-            for c in units:
-                node = node.get(c)
-                if node is None:
+        """Value of the spelling nearest to `text`, none farther than `budget`: (cost, value) or None; of equally near ones the first by value."""
+        states = self.reached([(self.root, "", 0)], budget)
+        for letter in unicodedata.normalize("NFD", text):
+            for x in look(letter):
+                after: list[tuple[dict, str, int]] = []
+                for node, rest, cost in states.values():
+                    if rest:
+                        after.append((node, rest[1:], cost + (rest[0] != x)))
+                    else:
+                        edges = self.edges(node)
+                        after.extend((m, left, cost) for m, left in edges.get(x, ()))
+                        if cost < budget:
+                            after.extend((m, left, cost + 1) for first, found in edges.items() if first != x for m, left in found)
+                    if cost < budget:
+                        after.append((node, rest, cost + 1))  # a letter too many
+                states = self.reached(after, budget)
+                if not states:
                     return None
-            return (0, node[None]) if None in node else None
-        # states of the automaton: trie nodes with their least cost
-        nodes = {id(self.root): (self.root, 0)}
-
-        def relax(into: dict, node: dict, cost: int) -> None:
-            stack = [(node, cost)]
-            while stack:
-                n, c = stack.pop()
-                if c <= budget and into.get(id(n), (n, budget + 1))[1] > c:
-                    into[id(n)] = (n, c)
-                    stack.extend((m, c + 1) for k, m in n.items() if k is not None)  # a letter left out
-
-        first: dict = {}
-        relax(first, self.root, 0)
-        nodes = first
-        for u in units:
-            after: dict = {}
-            for n, c in nodes.values():
-                relax(after, n, c + 1)  # a letter too many
-                for k, m in n.items():
-                    if k is not None:
-                        relax(after, m, c + (k != u))
-            nodes = after
-            if not nodes:
-                return None
-        ends = [(c, n[None]) for n, c in nodes.values() if None in n]
+        ends = [(cost, node[None]) for node, rest, cost in states.values() if not rest and None in node]
         return min(ends, key=lambda e: (e[0], str(e[1]))) if ends else None
 
 
+@lru_cache(maxsize=200_000)
+def look(letter: str) -> str:
+    """What a letter shows as: nothing, itself, a look-alike or several letters, accents apart."""
+    return unicodedata.normalize("NFD", letter.translate(images()))
+
+
 SPLIT_BLANKS = re.compile("([\\s\\u2000-\\u200a\\u202f\\u205f\\u3000\\xa0]+)")
+KEPT_WORDS = 200_000
+
+
+class Speller:
+    """Canonical spellings of words: those of the trie, else by the table. Words once looked up are kept, a bounded number of them."""
+
+    def __init__(self, trie: Trie):
+        self.trie, self.known = trie, {}
+
+    def word(self, part: str) -> str:
+        if not PLAIN.search(part):
+            return self.trie.foreign.get(part, part) if self.trie.foreign else part
+        form = self.known.get(part)
+        if form is None:
+            if len(self.known) >= KEPT_WORDS:
+                self.known.clear()
+            hit = self.trie.walk(part)
+            form = self.known[part] = hit[1] if hit else by_table(part)
+        return form
+
+    def text(self, text: str) -> str:
+        """Each word's known spelling, or its form by the table; blanks become single spaces of the same number."""
+        if not self.trie.foreign and not PLAIN.search(text):
+            return text
+        parts = (self.word(p) if i % 2 == 0 else (by_table(p) if PLAIN.search(p) else p) for i, p in enumerate(SPLIT_BLANKS.split(text)))
+        return unicodedata.normalize("NFC", "".join(parts))
 
 
 def canonical_words(text: str, trie: Trie) -> str:
-    """Each word's known spelling, or its form by the table; blanks become single spaces of the same number."""
-    if not PLAIN.search(text):
-        return text
-    out = []
-    for part in SPLIT_BLANKS.split(text):
-        hit = trie.walk(part) if part and PLAIN.search(part) else None
-        out.append(hit[1] if hit else by_table(part))
-    return unicodedata.normalize("NFC", "".join(out))
+    return Speller(trie).text(text)
 
 
-def body_form(body: str, trie: Trie) -> str:
+def body_form(body: str, speller: Speller) -> str:
     """Form of a body's visible text without any white space."""
-    t = without_markup(body, "")
-    if PLAIN.search(t):
-        t = canonical_words(t, trie)
-    return "".join(t.replace(RETURN_ARROW, "").split())
+    return "".join(speller.text(without_markup(body, "")).replace(RETURN_ARROW, "").split())
 
 
 def _vocabulary(titles: list[tuple[int, str]]) -> tuple[dict[str, int], dict[str, str]]:
+    """Titles with their ids, and their words. Words that look the same count as one, spelt like the first of them."""
     whole: dict[str, int] = {}
     for i, t in sorted(titles):
         whole.setdefault(t, i)
-    return whole, {w: w for t in whole for w in t.split(" ") if w}
+    one: dict[str, str] = {}
+    for w in sorted({w for t in whole for w in t.split(" ") if w}):
+        one.setdefault(by_table(w), unicodedata.normalize("NFC", w))
+    return whole, {w: w for w in one.values()}
 
 
 def official(titles: DataFrame) -> list[tuple[int, str]]:
@@ -185,19 +231,19 @@ def title_twins(editions: DataFrame, titles: DataFrame) -> DataFrame:
 
     def run(batches):
         whole, _ = shared.value
-        # of titles that look the same the smallest id
+        # titles that look the same end at several places of the trie: the smallest id holds at each
         least: dict[str, int] = {}
         for t, i in whole.items():
-            f = unicodedata.normalize("NFD", t.translate(images()))
+            f = by_table(t)
             least[f] = min(i, least.get(f, i))
-        trie, known = Trie({t: least[unicodedata.normalize("NFD", t.translate(images()))] for t in whole}), {}
+        trie, known = Trie({t: least[by_table(t)] for t in whole}), {}
         for b in batches:
             ids, twins = [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if t is None or t in whole:
                     continue
                 if t not in known:
-                    if len(known) > 200_000:
+                    if len(known) >= KEPT_WORDS:
                         known.clear()
                     known[t] = trie.walk(t)
                 if known[t]:
@@ -214,11 +260,11 @@ def body_forms(editions: DataFrame, titles: DataFrame) -> DataFrame:
     shared = editions.sparkSession.sparkContext.broadcast(_vocabulary(official(titles)))
 
     def run(batches):
-        trie = Trie(shared.value[1])
+        speller = Speller(Trie(shared.value[1]))
         for b in batches:
             keep, forms = [], []
             for i, body in enumerate(b.column(2).to_pylist()):
-                f = body_form(body, trie) if body else ""
+                f = body_form(body, speller) if body else ""
                 if f:
                     keep.append(i)
                     forms.append(xxhash.xxh3_128_digest(f))
@@ -229,6 +275,15 @@ def body_forms(editions: DataFrame, titles: DataFrame) -> DataFrame:
     return spread(src).mapInArrow(run, "edition_id long, sha string, form binary")
 
 
+def body_groups(editions: DataFrame, titles: DataFrame) -> DataFrame:
+    """`edition_id`, `group_id` (the smallest edition with the same look), `editions`, `texts` (different text hashes in the group): a row for each edition with visible text."""
+    forms = written(body_forms(editions, titles), "lookalike-forms").dropDuplicates(["edition_id"])
+    # texts are counted over (form, hash) pairs, so a group of copies is no task's list
+    kinds = forms.groupBy("form", "sha").agg(F.count("*").alias("n"), F.min("edition_id").alias("m"))
+    groups = kinds.groupBy(F.col("form").alias("f")).agg(F.min("m").alias("group_id"), F.sum("n").alias("editions"), F.count("*").alias("texts"))
+    return forms.join(groups, F.col("form") == F.col("f")).select("edition_id", "group_id", "editions", "texts")
+
+
 def body_twins(editions: DataFrame, titles: DataFrame) -> DataFrame:
     """`field`, `edition_id`, `twin_id`: pairs of editions with different text hashes whose visible texts look the same."""
     forms = written(body_forms(editions, titles), "lookalike-forms").dropDuplicates(["edition_id"])
@@ -247,9 +302,9 @@ def normalised_titles(editions: DataFrame, titles: DataFrame) -> DataFrame:
     shared = editions.sparkSession.sparkContext.broadcast(_vocabulary(official(titles)))
 
     def run(batches):
-        trie = Trie(shared.value[1])
+        speller = Speller(Trie(shared.value[1]))
         for b in batches:
-            out = [None if t is None else canonical_words(t, trie) for t in b.column(1).to_pylist()]
+            out = [None if t is None else speller.text(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["edition_id", "title_form"])
 
     return editions.select(F.col("edition_id").cast("long").alias("edition_id"), "title").dropDuplicates(["edition_id"]).mapInArrow(run, "edition_id long, title_form string")

@@ -26,6 +26,11 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike.title_twins(editions, titles).unionByName(lookalike.body_twins(editions, titles))
 
 
+def p5_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """One row for each edition: the group of editions whose bodies look the same. `p5_found` expands the groups into pairs."""
+    return lookalike.body_groups(table(spark, sf, "export_editions"), table(spark, sf, "official_titles"))
+
+
 def p5_titles(spark: SparkSession, sf: str) -> DataFrame:
     """Every edition's title in one consistent form."""
     return lookalike.normalised_titles(table(spark, sf, "export_editions"), table(spark, sf, "official_titles"))
@@ -61,7 +66,7 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_classes": p1_classes, "p5_found": p5_found, "p5_titles": p5_titles, "p6_ids": p6_ids, "p6_lengths": p6_lengths,
+    "p1_found": p1_found, "p1_classes": p1_classes, "p5_found": p5_found, "p5_titles": p5_titles, "p5_groups": p5_groups, "p6_ids": p6_ids, "p6_lengths": p6_lengths,
     "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_shares": p8_shares,
 }
 SQL: dict[str, str] = {}

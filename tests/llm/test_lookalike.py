@@ -33,6 +33,49 @@ def test_table_and_trie_agree():
     assert trie.walk("Cntry", 1) is None
 
 
+def test_automaton_on_raw_text():
+    """Spellings are kept as they are written, in any alphabet: the table alone would write them otherwise."""
+    trie = L.Trie({w: w for w in ("ОРЕС", "Ελλάδα", "ﬁne", "co\u00adop")})
+    for seen, spelt in (("OPEC", "ОРЕС"), ("ОPЕC", "ОРЕС"), ("ＯＰＥＣ", "ОРЕС"), ("fine", "ﬁne"), ("f\u200bine", "ﬁne"), ("coop", "co\u00adop"), ("Eλλάδα", "Ελλάδα"), ("Ελλα\u0301δα", "Ελλάδα")):
+        assert trie.walk(seen) == (0, spelt), seen
+    assert L.canonical_words("OPEC and Eλλάδα", trie) == "ОРЕС and Ελλάδα" != L.by_table("OPEC and Eλλάδα")
+    assert L.canonical_words("ОPEC", trie) == L.canonical_words("OPEC", trie) == L.canonical_words("ОРЕС", trie)
+    assert trie.walk("fin", 1) == (1, "ﬁne") and trie.walk("ne", 1) is None and trie.walk("ne", 2) == (2, "ﬁne") and trie.walk("finer", 1) == (1, "ﬁne") and trie.walk("", 0) is None
+    assert L.Trie({}).walk("x") is None and L.Trie({}).walk("x", 3) is None
+
+
+def test_automaton_against_edit_distance():
+    """Costs are those of a plain table over what is shown."""
+    import random
+
+    r = random.Random(2)
+    shown = lambda w: "".join(L.look(c) for c in unicodedata.normalize("NFD", w))
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    letters = "abcаоﬁ\u200bé"
+    for _ in range(300):
+        known = {"".join(r.choices(letters, k=r.randrange(1, 6))): i for i in range(r.randrange(1, 5))}
+        text, budget = "".join(r.choices(letters, k=r.randrange(6))), r.randrange(3)
+        costs = {w: distance(shown(w), shown(text)) for w in known}
+        near = min(costs.values())
+        hit = L.Trie({w: w for w in known}).walk(text, budget)
+        assert (hit is None and near > budget) or (hit is not None and hit[0] == near <= budget and costs[hit[1]] == near), (known, text, budget, hit)
+
+
+def test_groups(spark):
+    rows = [(1, "a", "<p>One café.</p>"), (2, "b", "Onе cafe&#x301;."), (3, "c", "Other"), (4, None, None), (5, "a", "One café."), (1, "a", "<p>One café.</p>")]
+    e = spark.createDataFrame([(i, None, s, b) for i, s, b in rows], "edition_id long, title string, text_sha256 string, body string")
+    got = sorted(map(tuple, L.body_groups(e, spark.createDataFrame([(1, "x")], "title_id long, title string")).collect()))
+    assert got == [(1, 1, 3, 2), (2, 1, 3, 2), (3, 3, 1, 1), (5, 1, 3, 2)]
+
+
 def test_titles(spark):
     e = spark.createDataFrame([(1, "Plаin title"), (2, "Plain title"), (3, None), (4, "plain title"), (1, "Plаin title"), (5, "Plain title"), (6, ""), (7, "Plain  title")], "edition_id long, title string")
     t = spark.createDataFrame([(9, "Plain title"), (8, "Рlain other")], "title_id long, title string")
