@@ -3,8 +3,8 @@
 A document is the set of its five-word phrases. Two sets match if common phrases / phrases of the larger set >= threshold.
 
 1. *Classes.* Documents with equal sets form one class, so groups of copies cost one set. Sets are written once, packed, to the shared folder.
-   Phrases that several classes share are counted over all documents and put last in the global order (by count, then hash); the rest is
-   ordered by hash.
+   Phrases are counted over all classes, in a table of counters of bounded size, and those that several classes share come last in the
+   global order (by the level of their count, then hash); the rest is ordered by hash.
 2. *Index lists.* The larger set of a matching pair has `needed` common phrases, and the first COUNTED of them lie in both prefixes (size -
    needed + counted phrases in global order). Prefixes go, packed and bucketed by phrase, to the index lists. In a list, entries are kept in
    blocks of one set size, ordered by position. A probe skips blocks outside its size window and, in a block, everything after the last
@@ -13,11 +13,11 @@ A document is the set of its five-word phrases. Two sets match if common phrases
 3. *Answers.* Candidates are verified in groups around their smallest neighbour, so sets of one cluster travel once. A set's overlaps are
    derived from the known ones of a highly similar set by the few phrases in which both differ (answer-level skipping).
 
-Skew: copies collapse before the shuffle (a class goes once from each task); shared phrases are last in the order; groups of many neighbours
-are split in two dimensions into blocks of bounded size. No pairs are lost by any of it; there are no caps.
+Skew: copies collapse before the shuffle (a class goes once from each task); shared phrases are last in the order; index lists and groups of
+many neighbours are cut in two dimensions into cells of bounded size. No pairs are lost by any of it; there are no caps.
 
-Broadcast: at most MOST_HOT shared phrases (the least count is chosen so that they fit), and the groups of sets to verify, if they are at most
-MOST_ROUTES, else they are joined by a shuffle.
+Broadcast: the levels of phrase counts (at most 2 ^ WIDEST bytes), and the groups of sets to verify, if they are at most MOST_ROUTES, else they
+are joined by a shuffle.
 
 Phrases are 40-bit hashes: two sets of a thousand phrases have a false common phrase in one of a million pairs, worth 0.001 of similarity.
 
@@ -28,6 +28,7 @@ twice count once; equal sets with different text hashes match with similarity 1.
 from __future__ import annotations
 
 import re
+import zlib
 from fractions import Fraction
 
 import numpy as np
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.markup import without_markup
-from palimpsest.session import release, spread, written
+from palimpsest.session import spread, written
 
 WORDS = re.compile(r"[^\W_]+")
 PHRASE = 5
@@ -46,7 +47,13 @@ BITS = np.uint64((1 << 40) - 1)
 COUNTED = 4
 #: Least count of a shared phrase, and most of them.
 HOT_LEAST = 6
-MOST_HOT = 2_000_000
+#: Bits of the least and the largest table of phrase counts, and counters that are summed at once.
+NARROWEST, WIDEST = 12, 24
+SLICE = 1 << 20
+#: Entries of an index list that meet in one task; longer lists are cut in two dimensions.
+SPLIT = 20_000
+#: Phrases of the sets that one task verifies.
+PHRASES_A_GROUP = 3_000_000
 MOST_ROUTES = 2_000_000
 POSTINGS_A_BUCKET = 1_500_000
 BLOCK = 2_048
@@ -157,40 +164,95 @@ def _features(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, "key long, sha string, cls long, n int, tokens binary")
 
 
-def _shared_phrases(sets: DataFrame) -> DataFrame:
-    """`tok`, `c`: phrases by the number of classes that have them, as far as several classes of one chunk do."""
+# phrases by their counts over all classes
+
+
+def _place(tokens: np.ndarray, width: int) -> np.ndarray:
+    return (_mix(tokens ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(width - 1)).astype(np.int64)
+
+
+def level_of(count: np.ndarray) -> np.ndarray:
+    """0 for counts below HOT_LEAST, then eight levels for each doubling."""
+    x = np.maximum(count, HOT_LEAST).astype(np.float64) / HOT_LEAST
+    return np.where(count < HOT_LEAST, 0, np.minimum(1 + np.floor(8 * np.log2(x)), 255)).astype(np.uint8)
+
+
+def most_at(level: int) -> int:
+    """The largest count of a level."""
+    return int(HOT_LEAST * 2 ** (level / 8)) + 1
+
+
+def phrase_levels(sets: DataFrame, total: int, tasks: int) -> np.ndarray:
+    """Levels of the counts of all phrases of all classes, by the phrase's place in a table of about as many counters as phrases.
+
+    Two phrases with one place count together, so a level is never too low. The table has at most WIDEST counters whatever the corpus; a
+    task counts in a table of its own, and the tables are summed slice by slice.
+    """
+    width = 1 << max(NARROWEST, min(WIDEST, int(total).bit_length()))
+    step = min(width, SLICE)
 
     def run(batches):
-        held, size = [], 0
+        counts, held, size = np.zeros(width, np.uint32), [], 0
 
-        def several():
-            t, c = np.unique(np.concatenate(held), return_counts=True)
-            many = c > 1
-            return pa.RecordBatch.from_arrays([pa.array(t[many].view(np.int64)), pa.array(c[many].astype(np.int64))], ["tok", "c"])
+        def add():
+            u, c = np.unique(_place(np.concatenate(held), width), return_counts=True)
+            counts[u] += c.astype(np.uint32)
 
         for batch in batches:
             for blob in batch.column(0).to_pylist():
                 held.append(unpack(blob))
                 size += len(held[-1])
-            if size > 2 * CHUNK:
-                yield several()
-                held, size = [], 0
+                if size > CHUNK:
+                    add()
+                    held, size = [], 0
         if held:
-            yield several()
+            add()
+        for i in range(0, width, step):
+            part = counts[i : i + step]
+            if part.any():
+                yield pa.RecordBatch.from_pydict({"slice": pa.array([i // step], pa.int32()), "counts": pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())})
+
+    def summed(t: pa.Table) -> pa.Table:
+        whole = np.zeros(step, np.uint64)
+        for blob in t.column("counts").to_pylist():
+            whole += np.frombuffer(zlib.decompress(blob), np.uint32)
+        return pa.table({"slice": t.column("slice").slice(0, 1), "levels": pa.array([zlib.compress(level_of(whole).tobytes(), 1)], pa.binary())})
+
+    rows = sets.select("tokens").coalesce(max(1, tasks)).mapInArrow(run, "slice int, counts binary").groupBy("slice").applyInArrow(summed, "slice int, levels binary").collect()
+    out = np.zeros(width, np.uint8)
+    for r in rows:
+        out[r["slice"] * step : (r["slice"] + 1) * step] = np.frombuffer(zlib.decompress(r["levels"]), np.uint8)
+    return out
+
+
+def _prefix(tokens: np.ndarray, levels: np.ndarray, threshold: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """The phrases of the prefix and their levels: rare ones first, by hash, then by level."""
+    level = levels[_place(tokens, len(levels))]
+    if level.any():
+        order = np.lexsort((tokens, level))
+        tokens, level = tokens[order], level[order]
+    need = needed(len(tokens), threshold)
+    n = len(tokens) - need + counted(need)
+    return tokens[:n], level[:n]
 
-    return sets.select("tokens").mapInArrow(run, "tok long, c long").groupBy("tok").agg(F.sum("c").alias("c")).where(F.col("c") >= HOT_LEAST)
 
+def cells(tokens: np.ndarray, level: np.ndarray, cls: np.ndarray, split: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index of the entry, list, side) of the index entries of phrases. A list of more than about `split` entries is cut in two dimensions.
 
-def _prefix(tokens: np.ndarray, hot: np.ndarray, hot_count: np.ndarray, threshold: Fraction) -> np.ndarray:
-    if len(hot):
-        at = np.searchsorted(hot, tokens)
-        at[at == len(hot)] = 0
-        is_hot = hot[at] == tokens
-        if is_hot.any():
-            rest, warm, count = tokens[~is_hot], tokens[is_hot], hot_count[at[is_hot]]
-            tokens = np.concatenate((rest, warm[np.lexsort((warm, count))]))
-    need = needed(len(tokens), threshold)
-    return tokens[: len(tokens) - need + counted(need)]
+    Classes of such a list fall into g parts by hash, and its pairs into cells of two parts; an entry goes to the g cells of its part. In a
+    cell of two different parts only pairs of different sides (1, 2) count, else (side 0) all do, so no pair is lost or counted twice.
+    """
+    most = np.array([most_at(x) for x in range(256)])
+    g = np.maximum(1, -(-most[level] // split))
+    g[level == 0] = 1
+    entry = np.repeat(np.arange(len(tokens)), g)
+    other = np.arange(len(entry)) - np.repeat(np.cumsum(g) - g, g)
+    parts = g[entry].astype(np.uint64)
+    mine = (_mix(cls[entry].view(np.uint64) + np.uint64(0x2545F4914F6CDD1D)) % parts).astype(np.int64)
+    lo, hi = np.minimum(mine, other), np.maximum(mine, other)
+    cell = _mix(tokens[entry] + np.uint64(0x9E3779B97F4A7C15) * (lo * g[entry] + hi + 1).astype(np.uint64)) & BITS
+    side = np.where(lo == hi, 0, np.where(mine == lo, 1, 2)).astype(np.uint8)
+    return entry, np.where(g[entry] == 1, tokens[entry], cell), side
 
 
 # 2. index lists
@@ -205,25 +267,28 @@ def _from_planes(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(4, -1).T).reshape(-1).view("<u4")
 
 
-def _postings(sets: DataFrame, hot: np.ndarray, hot_count: np.ndarray, threshold: Fraction, buckets: int) -> DataFrame:
+def _postings(sets: DataFrame, levels: np.ndarray, threshold: Fraction, buckets: int) -> DataFrame:
     """A row for each bucket that a chunk of a partition's classes touches: packed arrays."""
-    shared = sets.sparkSession.sparkContext.broadcast((hot, hot_count))
-    names = ["bucket", "cls", "size", "many", "tok", "pos"]
+    split = SPLIT
+    shared = sets.sparkSession.sparkContext.broadcast(zlib.compress(levels.tobytes(), 1))
+    names = ["bucket", "cls", "size", "many", "tok", "pos", "side"]
     schema = pa.schema([("bucket", pa.int32()), *[(x, pa.binary()) for x in names[1:]]])
 
     def run(batches):
-        hot, hot_count = shared.value
+        levels = np.frombuffer(zlib.decompress(shared.value), np.uint8)
         prefixes, cls, sizes, total = [], [], [], 0
 
         def packed():
-            lens = np.fromiter(map(len, prefixes), np.int64, len(prefixes))
-            tok = np.concatenate(prefixes)
+            lens = np.fromiter((len(t) for t, _ in prefixes), np.int64, len(prefixes))
+            tok, level = (np.concatenate([p[i] for p in prefixes]) for i in (0, 1))
             doc = np.repeat(np.arange(len(lens)), lens)
             pos = np.arange(len(tok)) - np.repeat(np.cumsum(lens) - lens, lens)
             c, s = np.array(cls, np.int64), np.array(sizes, np.uint32)
+            entry, tok, side = cells(tok, level, c[doc], split)
+            doc, pos = doc[entry], pos[entry]
             b = (_mix(tok) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(b, kind="stable")  # by document, then position, within a bucket
-            b, doc, pos, tok = b[order], doc[order], pos[order], tok[order]
+            b, doc, pos, tok, side = b[order], doc[order], pos[order], tok[order], side[order]
             cuts = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
             rows = {k: [] for k in names}
             for lo, hi in zip(cuts, [*cuts[1:], len(b)], strict=True):
@@ -239,23 +304,23 @@ def _postings(sets: DataFrame, hot: np.ndarray, hot_count: np.ndarray, threshold
                 rows["many"].append(_planes(np.diff(np.append(at, hi - lo))))
                 rows["tok"].append(tok[lo:hi].astype("<u4").tobytes())
                 rows["pos"].append(_planes(step))
+                rows["side"].append(side[lo:hi].tobytes() if side[lo:hi].any() else b"")
             return pa.RecordBatch.from_pydict(rows, schema=schema)
 
         for batch in batches:
             for c, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 t = unpack(blob)
-                p = _prefix(t, hot, hot_count, threshold)
-                prefixes.append(p)
+                prefixes.append(_prefix(t, levels, threshold))
                 cls.append(c)
                 sizes.append(len(t))
-                total += len(p)
+                total += len(prefixes[-1][0])
             if total > CHUNK:
                 yield packed()
                 prefixes, cls, sizes, total = [], [], [], 0
         if prefixes:
             yield packed()
 
-    return sets.mapInArrow(run, "bucket int, cls binary, size binary, many binary, tok binary, pos binary")
+    return sets.mapInArrow(run, "bucket int, cls binary, size binary, many binary, tok binary, pos binary, side binary")
 
 
 def _spans(count: np.ndarray, most: int = 2_000_000):
@@ -276,14 +341,16 @@ def _expand(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return row, start[row] + inner
 
 
-def list_pairs(tok: np.ndarray, doc: np.ndarray, pos: np.ndarray, size: np.ndarray, threshold: Fraction) -> tuple[np.ndarray, np.ndarray]:
+def list_pairs(tok: np.ndarray, doc: np.ndarray, pos: np.ndarray, size: np.ndarray, threshold: Fraction, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of document indices (codes lower * documents + higher) of one bucket's index lists and their numbers of common phrases."""
     order = np.lexsort((pos, size[doc], tok))
     tok, doc, pos = tok[order], doc[order], pos[order]
+    side = side[order] if side is not None else None
     new_list = np.concatenate(([True], tok[1:] != tok[:-1])) if len(tok) else np.zeros(0, bool)
     listed = np.cumsum(new_list) - 1
     several = np.bincount(listed)[listed] > 1 if len(tok) else new_list
     tok, doc, pos = tok[several], doc[several], pos[several].astype(np.int64)
+    side = side[several] if side is not None else None
     none = np.zeros(0, np.int64)
     if not len(tok):
         return none, none
@@ -308,6 +375,9 @@ def list_pairs(tok: np.ndarray, doc: np.ndarray, pos: np.ndarray, size: np.ndarr
 
     def keep(i: np.ndarray, j: np.ndarray) -> None:
         nonlocal held
+        if side is not None:
+            meet = (side[i] == 0) | (side[i] != side[j])
+            i, j = i[meet], j[meet]
         a, b = doc[i], doc[j]
         lo, hi = np.minimum(a, b), np.maximum(a, b)
         code = (lo * len(size) + hi)[lo != hi]
@@ -349,7 +419,7 @@ def list_pairs(tok: np.ndarray, doc: np.ndarray, pos: np.ndarray, size: np.ndarr
 
 def _candidates(postings: DataFrame, threshold: Fraction) -> DataFrame:
     def run(t: pa.Table) -> pa.Table:
-        cols = {x: t.column(x).to_pylist() for x in ("cls", "size", "many", "tok", "pos")}
+        cols = {x: t.column(x).to_pylist() for x in ("cls", "size", "many", "tok", "pos", "side")}
         cls = np.concatenate([np.frombuffer(x, np.int64) for x in cols["cls"]])
         size, many, step = (np.concatenate([_from_planes(x) for x in cols[c]]).astype(np.int64) for c in ("size", "many", "pos"))
         tok = np.concatenate([np.frombuffer(x, "<u4") for x in cols["tok"]])
@@ -364,7 +434,9 @@ def _candidates(postings: DataFrame, threshold: Fraction) -> DataFrame:
         use = keep[row]
         doc = np.searchsorted(known, cls)[row[use]]
         size = size[first]
-        pairs, count = list_pairs(tok[use], doc, pos[use], size, threshold)
+        sides = cols["side"]
+        side = np.concatenate([np.frombuffer(x, np.uint8) if x else np.zeros(len(y) // 4, np.uint8) for x, y in zip(sides, cols["tok"], strict=True)])[use] if any(sides) else None
+        pairs, count = list_pairs(tok[use], doc, pos[use], size, threshold, side)
         a, b = pairs // len(known), pairs % len(known)
         least = counted(_needed(np.maximum(size[a], size[b]), threshold))
         return pa.table({"a": known[a], "b": known[b], "c": pa.array(count.astype(np.int32)), "least": pa.array(least.astype(np.int32))})
@@ -412,7 +484,7 @@ def overlaps(pairs: list[tuple[int, int]], sets: dict[int, np.ndarray]) -> list[
     return [known[a][b] for a, b in pairs]
 
 
-def _blocks(cand: DataFrame, groups: int) -> DataFrame:
+def _blocks(cand: DataFrame) -> DataFrame:
     """The candidates with the block in which they are verified: around the smallest neighbour of either, split where there are many."""
     both = cand.unionByName(cand.select(F.col("b").alias("a"), F.col("a").alias("b")))
     lead = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("lead"))
@@ -420,8 +492,14 @@ def _blocks(cand: DataFrame, groups: int) -> DataFrame:
     pairs = cand.join(la, F.col("a") == F.col("a_")).join(lb, F.col("b") == F.col("b_")).select("a", "b", F.least("la", "lb").alias("g"))
     size = pairs.groupBy("g").count().select(F.col("g").alias("g_"), F.ceil(F.sqrt(F.col("count") / F.lit(8.0 * BLOCK))).cast("int").alias("k"))
     pairs = pairs.join(size, F.col("g") == F.col("g_"))
-    pairs = pairs.select("a", "b", F.xxhash64("g", F.pmod(F.xxhash64("a"), F.col("k")), F.pmod(F.xxhash64("b"), F.col("k"))).alias("block"))
-    return pairs.select("a", "b", "block", F.pmod(F.col("block"), F.lit(groups)).cast("int").alias("p"))
+    return pairs.select("a", "b", F.xxhash64("g", F.pmod(F.xxhash64("a"), F.col("k")), F.pmod(F.xxhash64("b"), F.col("k"))).alias("block"))
+
+
+def _grouped(pairs: DataFrame, phrases_a_set: float) -> DataFrame:
+    """The pairs with `p`, the task that verifies their block: as many tasks as the sets that travel to the blocks need."""
+    ends = pairs.select("block", F.explode(F.array("a", "b")).alias("a")).distinct().count()
+    groups = int(max(2 * pairs.sparkSession.sparkContext.defaultParallelism, ends * phrases_a_set // PHRASES_A_GROUP + 1))
+    return pairs.withColumn("p", F.pmod(F.col("block"), F.lit(groups)).cast("int"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
@@ -463,28 +541,14 @@ def class_links(df: DataFrame, key: str, sha: str, body: str, threshold: float =
     src = spread(df.select(F.col(key).cast("long").alias("key"), F.col(sha).cast("string").alias("sha"), F.col(body).alias("body")))
     light = written(_features(src), "neardup-sets")
     members = light.select("key", F.coalesce("sha", F.lit("")).alias("sha"), "cls", "n").where("key IS NOT NULL").dropDuplicates(["key"])
-    total = light.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     sets = light.where("tokens IS NOT NULL").select("cls", "tokens")
-    hot = written(_shared_phrases(sets), "neardup-shared")
-    # the least count at which the shared phrases fit into a broadcast; large counts by powers of two
-    size = F.when(F.col("c") < 64, F.col("c")).otherwise(F.pow(F.lit(2.0), F.floor(F.log2(F.col("c").cast("double")))).cast("long"))
-    least, n = HOT_LEAST, 0
-    for r in sorted(hot.groupBy(size.alias("size")).agg(F.count("*").alias("n")).collect(), reverse=True):
-        n += r.n
-        if n > MOST_HOT:
-            least = r.size + 1 if r.size < 64 else 2 * r.size
-            break
-    found = hot.where(F.col("c") >= least).toArrow()
-    t, c = (found.column(x).to_numpy() for x in ("tok", "c"))
-    order = np.argsort(t)
-    t, c = t[order].view(np.uint64), c[order]
+    some = light.where("tokens IS NOT NULL").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("c")).first()
     cores = spark.sparkContext.defaultParallelism
-    buckets = int(max(cores, total * (1 - 0.75 * float(exact)) // POSTINGS_A_BUCKET + 1))
-    cand = written(_candidates(_postings(sets, t, c, exact, buckets), exact), "neardup-candidates")
-    release(spark)
-    pairs = written(_blocks(cand, max(2 * cores, int(total // (2 * POSTINGS_A_BUCKET)) + 1)), "neardup-blocks")
-    links = _verified(pairs, sets, exact)
-    return members, links
+    levels = phrase_levels(sets, some.n, cores)
+    buckets = int(max(cores, some.n * (1 - 0.75 * float(exact)) // POSTINGS_A_BUCKET + 1))
+    cand = written(_candidates(_postings(sets, levels, exact, buckets), exact), "neardup-candidates")
+    pairs = _grouped(written(_blocks(cand), "neardup-blocks"), some.n / max(some.c, 1))
+    return members, _verified(pairs, sets, exact)
 
 
 def edition_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -498,6 +562,19 @@ def edition_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     return both.join(ma, ["a", "sa"]).join(mb, ["b", "sb"]).select(F.least("ka", "kb").alias("edition_a"), F.greatest("ka", "kb").alias("edition_b"))
 
 
+def member_rows(members: DataFrame) -> DataFrame:
+    """`edition_id`, `class_id` (smallest edition with the same phrases), `text_sha256`: a row for each edition with words."""
+    rep = members.groupBy("cls").agg(F.min("key").alias("class_id")).withColumnRenamed("cls", "c")
+    return members.join(rep, F.col("cls") == F.col("c")).select(F.col("key").alias("edition_id"), "class_id", F.col("sha").alias("text_sha256"))
+
+
+def link_rows(members: DataFrame, links: DataFrame) -> DataFrame:
+    """`class_a`, `class_b` (smaller first), `similarity` of the linked classes, named by their smallest editions."""
+    rep = members.groupBy("cls").agg(F.min("key").alias("class_id"))
+    ra, rb = rep.select(F.col("cls").alias("a"), F.col("class_id").alias("x")), rep.select(F.col("cls").alias("b"), F.col("class_id").alias("y"))
+    return links.join(ra, "a").join(rb, "b").select(F.least("x", "y").alias("class_a"), F.greatest("x", "y").alias("class_b"), "similarity")
+
+
 def classes(members: DataFrame, links: DataFrame) -> DataFrame:
     """One row for each key: its class (the smallest key with the same phrases), copies in the class, links of the class to other classes."""
     n = links.select("a").unionByName(links.select(F.col("b").alias("a"))).groupBy("a").count().select(F.col("a").alias("cls"), F.col("count").alias("links"))

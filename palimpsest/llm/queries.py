@@ -16,6 +16,16 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.edition_pairs(*neardup.class_links(table(spark, sf, "export_editions"), "edition_id", "text_sha256", "body", EDITION_THRESHOLD))
 
 
+def p1_members(spark: SparkSession, sf: str) -> DataFrame:
+    """One row for each edition: its class of equal phrase sets. With `p1_links` this holds all that `p1_found` expands into pairs."""
+    return neardup.member_rows(neardup.class_links(table(spark, sf, "export_editions"), "edition_id", "text_sha256", "body", EDITION_THRESHOLD)[0])
+
+
+def p1_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of classes with a similarity of at least 0.5, by their smallest editions."""
+    return neardup.link_rows(*neardup.class_links(table(spark, sf, "export_editions"), "edition_id", "text_sha256", "body", EDITION_THRESHOLD))
+
+
 def p1_classes(spark: SparkSession, sf: str) -> DataFrame:
     """One row for each edition: its class of equal phrase sets and the class's number of links at 0.8."""
     return neardup.classes(*neardup.class_links(table(spark, sf, "export_editions"), "edition_id", "text_sha256", "body", 0.8))
@@ -66,7 +76,7 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_classes": p1_classes, "p5_found": p5_found, "p5_titles": p5_titles, "p5_groups": p5_groups, "p6_ids": p6_ids, "p6_lengths": p6_lengths,
+    "p1_found": p1_found, "p1_links": p1_links, "p1_members": p1_members, "p1_classes": p1_classes, "p5_found": p5_found, "p5_titles": p5_titles, "p5_groups": p5_groups, "p6_ids": p6_ids, "p6_lengths": p6_lengths,
     "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_shares": p8_shares,
 }
 SQL: dict[str, str] = {}

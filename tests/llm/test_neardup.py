@@ -51,7 +51,8 @@ def made(seed, n=220):
 
 @pytest.mark.parametrize(("seed", "threshold"), [(1, 0.5), (2, 0.8), (3, 0.5), (4, 0.3)])
 def test_against_brute_force(spark, seed, threshold, monkeypatch):
-    monkeypatch.setattr(N, "MOST_HOT", 300)
+    monkeypatch.setattr(N, "SPLIT", 3)
+    monkeypatch.setattr(N, "PHRASES_A_GROUP", 500)
     monkeypatch.setattr(N, "BLOCK", 1)
     rows = made(seed)
     df = spark.createDataFrame(rows, "edition_id long, text_sha256 string, body string")
@@ -67,6 +68,36 @@ def test_hot_group(spark):
     assert found(df, 0.5) == [(1000, 1000 + i) for i in range(1, 100)]
 
 
+def test_members_and_links(spark):
+    """Classes and their links hold all pairs: expanded, they are what `edition_pairs` gives."""
+    df = spark.createDataFrame(made(7), "edition_id long, text_sha256 string, body string")
+    members, links = N.class_links(df, "edition_id", "text_sha256", "body", 0.5)
+    rows, linked = N.member_rows(members).collect(), {(r.class_a, r.class_b) for r in N.link_rows(members, links).collect()}
+    want = {(a.edition_id, b.edition_id) for a in rows for b in rows if a.edition_id < b.edition_id and a.text_sha256 != b.text_sha256 and (a.class_id == b.class_id or tuple(sorted((a.class_id, b.class_id))) in linked)}
+    assert set(found(df, 0.5)) == want and all(a < b for a, b in linked)
+
+
+def test_counts_and_cells(spark):
+    """Levels are never too low, at any width; every pair of a cut list meets in exactly one cell."""
+    r = np.random.default_rng(3)
+    sets = [np.unique(r.integers(0, 500, 40).astype(np.uint64) ** 3) for _ in range(300)]
+    df = spark.createDataFrame([(i, bytearray(N.pack(x))) for i, x in enumerate(sets)], "cls long, tokens binary")
+    names, count = np.unique(np.concatenate(sets), return_counts=True)
+    for total in (1, 12_000):
+        levels = N.phrase_levels(df, total, 3)
+        got = levels[N._place(names, len(levels))]
+        assert (got >= N.level_of(count)).all() and (total == 1 or (got == N.level_of(count)).mean() > 0.9)
+    cls = np.arange(50, dtype=np.int64) * 7919
+    entry, cell, side = N.cells(np.full(50, 9, np.uint64), np.full(50, N.level_of(np.array([50]))[0], np.uint8), cls, 8)
+    met = {}
+    for i in range(len(entry)):
+        for j in range(i):
+            if cell[i] == cell[j] and (side[i] == 0 or side[i] != side[j]):
+                p = tuple(sorted((entry[i], entry[j])))
+                met[p] = met.get(p, 0) + 1
+    assert met == {(i, j): 1 for j in range(50) for i in range(j)}
+
+
 def test_empty_and_clashing(spark):
     df = spark.createDataFrame([], "edition_id long, text_sha256 string, body string, cls string, a string, n string")
     assert found(df, 0.5) == []
