@@ -60,8 +60,10 @@ def plan(tokens: DataFrame, targets: DataFrame) -> list[dict]:
     scale = sum(share.values())
     share = {s: x / scale if scale else 0.0 for s, x in share.items()}
     most = {r.source: max(0, r.t.most) for r in rows}
-    has = tokens.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()
-    size = {r.source: r.n for r in has if r.source in share}
+    # sources of the documents that have no target are one row, however many they are
+    wanted = tokens.sparkSession.createDataFrame([(s,) for s in share], "s string")
+    has = tokens.join(F.broadcast(wanted), F.col("source") == F.col("s"), "left").groupBy("s").agg(F.sum("n_tokens").alias("n")).collect()
+    size = {r.s: r.n for r in has if r.s is not None}
     whole = sum(r.n or 0 for r in has)
     given = water_fill(whole, share, {s: most[s] * size.get(s, 0) for s in share})
     return [{"source": s, "target_share": share[s], "max_repeats": most[s], "tokens": size.get(s, 0), "budget": given[s], "epochs": given[s] / size[s] if size.get(s) else 0.0} for s in sorted(share)]
@@ -98,5 +100,6 @@ def shares(tokens: DataFrame, targets: DataFrame, seed: int = SEED) -> DataFrame
     wanted = spark.createDataFrame([(e["source"], e["target_share"], e["epochs"], bool(e["target_share"] > 0 and e["epochs"] >= e["max_repeats"])) for e in entries], "source string, target_share double, epochs double, clamped boolean")
     used = mix(tokens, targets, seed).groupBy("source").agg(F.count("*").alias("documents"), F.sum("uses").alias("uses"), F.sum(F.col("uses") * F.col("n_tokens")).alias("tokens"))
     out = wanted.join(used, "source", "left").fillna(0, ["documents", "uses", "tokens"])
-    total = F.sum("tokens").over(Window.partitionBy(F.lit(1)))
-    return out.select("source", "target_share", F.coalesce(F.try_divide(F.col("tokens"), total), F.lit(0.0)).alias("reached_share"), "documents", "uses", "tokens", "epochs", "clamped")
+    whole = out.agg(F.sum("tokens").alias("whole"))  # one row
+    total = F.col("whole")
+    return out.join(F.broadcast(whole)).select("source", "target_share", F.coalesce(F.try_divide(F.col("tokens"), total), F.lit(0.0)).alias("reached_share"), "documents", "uses", "tokens", "epochs", "clamped")
