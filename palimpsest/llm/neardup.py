@@ -53,7 +53,7 @@ SLICE = 1 << 20
 #: Entries of an index list that meet in one task; longer lists are cut in two dimensions.
 SPLIT = 20_000
 #: Phrases of the sets that one task verifies.
-PHRASES_A_GROUP = 3_000_000
+PHRASES_A_GROUP = 1_000_000
 MOST_ROUTES = 2_000_000
 POSTINGS_A_BUCKET = 1_500_000
 BLOCK = 2_048
@@ -417,7 +417,7 @@ def list_pairs(tok: np.ndarray, doc: np.ndarray, pos: np.ndarray, size: np.ndarr
     return u, np.bincount(inverse, np.concatenate([c for _, c in found])).astype(np.int64)
 
 
-def _candidates(postings: DataFrame, threshold: Fraction) -> DataFrame:
+def _candidates(postings: DataFrame, threshold: Fraction, buckets: int) -> DataFrame:
     def run(t: pa.Table) -> pa.Table:
         cols = {x: t.column(x).to_pylist() for x in ("cls", "size", "many", "tok", "pos", "side")}
         cls = np.concatenate([np.frombuffer(x, np.int64) for x in cols["cls"]])
@@ -441,7 +441,8 @@ def _candidates(postings: DataFrame, threshold: Fraction) -> DataFrame:
         least = counted(_needed(np.maximum(size[a], size[b]), threshold))
         return pa.table({"a": known[a], "b": known[b], "c": pa.array(count.astype(np.int32)), "least": pa.array(least.astype(np.int32))})
 
-    found = postings.groupBy("bucket").applyInArrow(run, "a long, b long, c int, least int")
+    # as many partitions as buckets, whatever the session's number is
+    found = postings.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(run, "a long, b long, c int, least int")
     return found.groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("least").alias("least")).where("c >= least").select("a", "b")
 
 
@@ -495,14 +496,14 @@ def _blocks(cand: DataFrame) -> DataFrame:
     return pairs.select("a", "b", F.xxhash64("g", F.pmod(F.xxhash64("a"), F.col("k")), F.pmod(F.xxhash64("b"), F.col("k"))).alias("block"))
 
 
-def _grouped(pairs: DataFrame, phrases_a_set: float) -> DataFrame:
+def _grouped(pairs: DataFrame, phrases_a_set: float) -> tuple[DataFrame, int]:
     """The pairs with `p`, the task that verifies their block: as many tasks as the sets that travel to the blocks need."""
     ends = pairs.select("block", F.explode(F.array("a", "b")).alias("a")).distinct().count()
     groups = int(max(2 * pairs.sparkSession.sparkContext.defaultParallelism, ends * phrases_a_set // PHRASES_A_GROUP + 1))
-    return pairs.withColumn("p", F.pmod(F.col("block"), F.lit(groups)).cast("int"))
+    return pairs.withColumn("p", F.pmod(F.col("block"), F.lit(groups)).cast("int")), groups
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
+def _verified(pairs: DataFrame, groups: int, sets: DataFrame, threshold: Fraction) -> DataFrame:
     """`a`, `b`, `similarity` of the class pairs that match. `pairs`: as from `_blocks`; `sets`: `cls`, `tokens`."""
     route = pairs.select("a", "p").unionByName(pairs.select(F.col("b").alias("a"), "p")).distinct()
     if route.limit(MOST_ROUTES + 1).count() <= MOST_ROUTES:
@@ -531,24 +532,29 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFra
                     out_s.append(n / larger)
         return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64()), "similarity": pa.array(out_s, pa.float64())})
 
-    return rows.groupBy("p").applyInArrow(run, "a long, b long, similarity double")
+    return rows.repartition(groups, "p").groupBy("p").applyInArrow(run, "a long, b long, similarity double")
+
+
+def class_sets(df: DataFrame, key: str, sha: str, body: str) -> tuple[DataFrame, DataFrame]:
+    """(members: `key`, `sha`, `cls`, `n`; the written sets they come from)."""
+    src = spread(df.select(F.col(key).cast("long").alias("key"), F.col(sha).cast("string").alias("sha"), F.col(body).alias("body")))
+    light = written(_features(src), "neardup-sets")
+    return light.select("key", F.coalesce("sha", F.lit("")).alias("sha"), "cls", "n").where("key IS NOT NULL").dropDuplicates(["key"]), light
 
 
 def class_links(df: DataFrame, key: str, sha: str, body: str, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(members: `key`, `sha`, `cls`, `n`; links between classes: `a`, `b`, `similarity`)."""
     spark = df.sparkSession
     exact = Fraction(str(threshold))
-    src = spread(df.select(F.col(key).cast("long").alias("key"), F.col(sha).cast("string").alias("sha"), F.col(body).alias("body")))
-    light = written(_features(src), "neardup-sets")
-    members = light.select("key", F.coalesce("sha", F.lit("")).alias("sha"), "cls", "n").where("key IS NOT NULL").dropDuplicates(["key"])
+    members, light = class_sets(df, key, sha, body)
     sets = light.where("tokens IS NOT NULL").select("cls", "tokens")
     some = light.where("tokens IS NOT NULL").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("c")).first()
     cores = spark.sparkContext.defaultParallelism
     levels = phrase_levels(sets, some.n, cores)
     buckets = int(max(cores, some.n * (1 - 0.75 * float(exact)) // POSTINGS_A_BUCKET + 1))
-    cand = written(_candidates(_postings(sets, levels, exact, buckets), exact), "neardup-candidates")
-    pairs = _grouped(written(_blocks(cand), "neardup-blocks"), some.n / max(some.c, 1))
-    return members, _verified(pairs, sets, exact)
+    cand = written(_candidates(_postings(sets, levels, exact, buckets), exact, buckets), "neardup-candidates")
+    pairs, groups = _grouped(written(_blocks(cand), "neardup-blocks"), some.n / max(some.c, 1))
+    return members, _verified(pairs, groups, sets, exact)
 
 
 def edition_pairs(members: DataFrame, links: DataFrame) -> DataFrame:

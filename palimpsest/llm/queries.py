@@ -18,7 +18,7 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p1_members(spark: SparkSession, sf: str) -> DataFrame:
     """One row for each edition: its class of equal phrase sets. With `p1_links` this holds all that `p1_found` expands into pairs."""
-    return neardup.member_rows(neardup.class_links(table(spark, sf, "export_editions"), "edition_id", "text_sha256", "body", EDITION_THRESHOLD)[0])
+    return neardup.member_rows(neardup.class_sets(table(spark, sf, "export_editions"), "edition_id", "text_sha256", "body")[0])
 
 
 def p1_links(spark: SparkSession, sf: str) -> DataFrame:
