@@ -98,12 +98,44 @@ def version_banner(text: Column, window: int = 200) -> Column:
     return F.coalesce(F.nullif(near, F.lit("")), F.nullif(F.regexp_extract(F.substring(text, 1, window), pattern, 1), F.lit("")))
 
 
+#: Quoted spans in typographic double, single and straight marks.
+QUOTED = '“[^”]+”|‘[^’]+’|"[^"]+"'
+
+
 def quotations(text: Column, least: int = 8, most: int = 300, first: int = 6) -> Column:
-    """Quoted spans of `least` to `most` words, the first few distinct ones."""
-    t = F.coalesce(text, F.lit(""))
-    found = F.regexp_extract_all(t, F.lit("“([^”]+)”"), F.lit(1))
+    """Quoted spans of `least` to `most` words, the first few distinct ones. A text that begins with a quotation mark is one span up to the last closing one."""
+    t = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?i)\[footnote\s+\d+\]", ""))
     n = lambda q: F.size(F.split(F.trim(q), r"\s+"))
-    return F.slice(F.array_distinct(F.filter(found, lambda q: n(q).between(least, most))), 1, first)
+    whole = F.regexp_extract(t, "(?s)^(?:“(.+)”|‘(.+)’)", 0)
+    spans = F.when(whole != "", F.array(whole)).otherwise(F.regexp_extract_all(t, F.lit(QUOTED), F.lit(0)))
+    inner = F.transform(spans, lambda q: F.substring(q, F.lit(2), F.length(q) - 2))
+    return F.slice(F.array_distinct(F.filter(inner, lambda q: n(q).between(least, most))), 1, first)
+
+
+def claim_text(text: Column) -> Column:
+    """A claim without the number of its paragraph and the marks of its footnotes."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s*\d+(?:\.\d+)+\.?\s+", ""), r"(?i)\[footnote\s+\d+\]", ""))
+
+
+def headings(html: Column) -> Column:
+    """Distinct headings of up to fourteen words, as they are compared."""
+    found = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?is)<h[1-6][^>]*>(.*?)</h[1-6]\s*>"), F.lit(1))
+    return F.array_distinct(F.filter(F.transform(found, lambda h: normal_quotation(without_markup(h))), lambda h: F.size(F.split(h, r"\s+")).between(1, 14) & (h != "")))
+
+
+def comparison_text(text: Column, heads: Column) -> Column:
+    """A text without the headings that stand in it exactly once: quotations may run on over them."""
+    once = lambda t, h: (F.length(t) - F.length(F.replace(t, h, F.lit("")))) == F.length(h)
+    return F.aggregate(heads, text, lambda t, h: F.when(once(t, h), F.replace(t, h, F.lit(" "))).otherwise(t), lambda t: normal_quotation(t))
+
+
+#: References to notes of the page itself, with their label.
+NOTE_REF = r'(?is)<sup[^>]*>\s*<a[^>]*href="#(?:fn|ftn|edn|note|cite)[^"]*"[^>]*>\s*((?:footnote\s*)?\[?(?:footnote\s+)?\d{1,4}\]?)\s*</a>\s*</sup>'
+
+
+def without_notes(html: Column) -> Column:
+    """A fragment without its references to notes; other raised figures (exponents, provisions) stay."""
+    return F.regexp_replace(F.coalesce(html, F.lit("")), NOTE_REF, " ")
 
 
 # four normalisers, kept apart: each forgets other things

@@ -5,27 +5,81 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.functions import text as T
+from palimpsest.operators import quotes as Q
 from palimpsest.operators import rules as R
+from palimpsest.operators.neighbours import beside_previous
 from palimpsest.plans.registry import query
-from palimpsest.session import table
+from palimpsest.session import once, table
 
 
-def occurrences(spark: SparkSession, sf: str) -> DataFrame:
+FIELDS = {f.split()[0]: f.split(None, 1)[1] for f in R.SCHEMA.replace("\n", " ").split(", ") if not f.strip().startswith(("similarity", "excerpt", "differences", "changed", "form_only", "figures_only", "attribution", "share", "marker", "agreed"))} | {"near": Q.NEAR}
+#: Occurrences of editions are numbered after those of documents.
+OF_EDITIONS = 1 << 50
+
+
+def complete(df: DataFrame) -> DataFrame:
+    """All columns of an occurrence; what isn't known is null."""
+    return df.select(*[F.col(k).cast(v) if k in df.columns else F.lit(None).cast(v).alias(k) for k, v in FIELDS.items()])
+
+
+def footnotes(spark: SparkSession, sf: str) -> DataFrame:
     """Every footnote of the documents as an occurrence: its text is the citation, its address the source; no source text is held."""
     d = table(spark, sf, "documents").where("kind = 'footnotes'").select("doc_id", F.date_format("published_on", "yyyy-MM-dd").alias("published"), F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\r?\n")))
-    d = d.select((F.col("doc_id") * 10_000 + F.col("pos")).alias("occurrence"), "published", F.regexp_extract("col", r"^\s*\d+\.\s+(.*)$", 1).alias("cite")).where("cite <> ''")
+    d = d.select("doc_id", (F.col("doc_id") * 10_000 + F.col("pos")).alias("occurrence"), "published", F.regexp_extract("col", r"^\s*\d+\.\s+(.*)$", 1).alias("cite")).where("cite <> ''")
     href = F.nullif(F.regexp_extract("cite", r"(https?://[^\s,;)]+)", 1), F.lit(""))
-    have = {"occurrence", "published", "cite", "href", "url"}
-    rest = {f.split()[0]: f.split(None, 1)[1] for f in R.SCHEMA.replace("\n", " ").split(", ")}
     d = d.withColumns({"href": href, "url": href})
-    return d.withColumns({k: F.lit(None).cast(v) for k, v in rest.items() if k not in have})
+    # dates under which one document cites one address
+    dated = d.where("url IS NOT NULL").select("doc_id", "url", F.explode(T.dates(F.split("cite", r"(?i)\baccessed\b")[0])).alias("day")).distinct().groupBy(F.col("doc_id").alias("d"), F.col("url").alias("u")).agg(F.array_sort(F.collect_set("day")).alias("url_dates"))
+    return complete(d.join(dated, (F.col("doc_id") == F.col("d")) & (F.col("url") == F.col("u")), "left"))
+
+
+def editions_claims(spark: SparkSession, sf: str) -> DataFrame:
+    """Every paragraph of an edition as an occurrence with its evidence.
+
+    References and targets are those of its footnotes; the citation is the first footnote it refers to; the source is the edition of the note
+    before it, read in two ways, by sections as pages, with the hash the table states; the receipt is the note's first download.
+    """
+    e = once(table(spark, sf, "export_editions").select("edition_id", "note", "title", "first_seen", "sha256", "body"), "edition_id")
+    p = beside_previous(e, "note", ["first_seen", "edition_id"], "edition_id", ["note", "title", "first_seen", "sha256", "body"])
+    old = F.col("previous_body")
+    seen = T.visible_text(F.regexp_replace(old, r"(?i)</?(?:p|li|h[1-6]|td|th|tr|div|section|ol|ul)\b[^>]*>", " "))
+    ids = lambda c: F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r'\sid="([^"]+)"'), F.lit(1))
+    p = p.select(
+        "edition_id", "note", F.date_format("first_seen", "yyyy-MM-dd").alias("published"), ids(F.col("body")).alias("all_ids"),
+        F.regexp_extract_all(F.coalesce("body", F.lit("")), F.lit(r'(?is)<li id="fn:[^"]+"[^>]*>.*?</li\s*>'), F.lit(0)).alias("notes"), F.regexp_extract_all(F.coalesce("body", F.lit("")), F.lit(r"(?is)<(?:p|li)\b[^>]*>.*?</(?:p|li)\s*>"), F.lit(0)).alias("blocks"),
+        F.when(old.isNotNull(), T.normal_quotation(seen)).alias("doc"), F.when(old.isNotNull(), T.normal_quotation(F.regexp_replace(T.without_markup(F.regexp_replace(old, r"&[a-z#0-9]+;", " "), " "), r"\s+", " "))).alias("second"),
+        old.alias("content"), F.col("previous_sha256").alias("receipt_sha"), F.col("previous_title").alias("headers"), F.array_distinct(T.dates(seen)).alias("doc_dates"), F.when(old.isNotNull(), ids(old)).alias("anchors"),
+        F.when(old.isNotNull(), F.transform(F.split(old, r"(?i)<h2\b"), lambda x: T.normal_quotation(T.without_markup(x, " ")))).alias("page_texts"),
+    )
+    p = p.withColumns({
+        "labels": F.transform(F.sequence(F.lit(1), F.size("page_texts")), lambda i: i.cast("string")),
+        "bib_dates": F.flatten(F.transform(F.regexp_extract_all(F.coalesce("content", F.lit("")), F.lit(r'(?is)<li id="fn:[^"]+"[^>]*>(.*?)</li\s*>'), F.lit(1)), T.dates)),
+    })
+    b = p.select("*", F.posexplode("blocks").alias("pos", "block"))
+    refs = F.regexp_extract_all("block", F.lit(r'href="#(fn:[^"]+)"'), F.lit(1))
+    b = b.withColumns({"refs": refs, "targets": F.filter("all_ids", lambda x: x.startswith("fn:"))}).where(~F.col("block").rlike(r'^<li id="fn:'))
+    mine = F.get(F.filter("notes", lambda x: x.startswith(F.concat(F.lit('<li id="'), F.get(F.col("refs"), 0), F.lit('"')))), 0)
+    b = b.withColumns({"claim": T.claim_text(T.visible_text(F.col("block"))), "cite": T.visible_text(F.regexp_replace(mine, "↩", "")), "occurrence": F.lit(OF_EDITIONS) + F.col("edition_id") * 10_000 + F.col("pos")})
+    b = b.withColumn("cite", F.nullif("cite", F.lit("")))
+    d = table(spark, sf, "repository_downloads")
+    first = d.groupBy(F.col("note").alias("n")).agg(F.min_by(F.struct("original_url", "url", "status", "pages", "downloaded_at"), "download_id").alias("r"))
+    j = b.join(first, F.col("note") == F.col("n"), "left")
+    status = F.when(F.col("r.status") == "saved", "downloaded").otherwise(F.col("r.status"))
+    return complete(j.withColumns({
+        "url": F.col("r.original_url"), "href": F.col("r.original_url"), "final_url": F.col("r.url"), "status": status, "pages": F.coalesce("r.pages", F.size("page_texts")), "fetched_at": F.col("r.downloaded_at"),
+        "kind": F.when(F.lower("r.original_url").rlike(r"\.pdf$"), "pdf").otherwise("html"), "bib_urls": F.when(F.col("r").isNotNull(), F.array("r.original_url")),
+    }))
+
+
+def occurrences(spark: SparkSession, sf: str) -> DataFrame:
+    """All claims and citations with their evidence, near matches included."""
+    return R.with_near(footnotes(spark, sf).unionByName(editions_claims(spark, sf)))
 
 
 def claims(spark: SparkSession, sf: str) -> DataFrame:
     """Every document as a claim without citation."""
-    rest = {f.split()[0]: f.split(None, 1)[1] for f in R.SCHEMA.replace("\n", " ").split(", ")}
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("occurrence"), F.col("text").alias("claim"))
-    return d.withColumns({k: F.lit(None).cast(v) for k, v in rest.items() if k not in ("occurrence", "claim")})
+    return complete(table(spark, sf, "documents").select(F.col("doc_id").alias("occurrence"), F.col("text").alias("claim")))
 
 
 _O = """
@@ -45,15 +99,23 @@ UNION ALL SELECT occurrence, 'access-before-publication', CASE WHEN len(md) = 0
 UNION ALL SELECT occurrence, 'source-pinpoint-present', CASE WHEN url IS NULL THEN 'not_applicable' WHEN regexp_matches(main, '(?i)\\b(?:pp?\\.|pages?)\\s*\\d+') OR regexp_matches(main, '(?i)\\b(?:paragraphs?|paras?\\.?)\\s+\\d+') OR contains(url, '#') THEN 'pass' ELSE 'observation' END FROM d
 UNION ALL SELECT occurrence, 'contextual-support', 'unable' FROM d""")
 def mechanical_rules_long(spark: SparkSession, sf: str) -> DataFrame:
-    return R.screen(occurrences(spark, sf), _RULES)
+    return R.screen(footnotes(spark, sf), _RULES)
 
 
 @query("2.10 A-13 rule-1..56")
 def rule_state_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """States of every rule over all citations; each rule is there, eligible or not."""
+    """States of every rule over all claims and citations; each rule is there, eligible or not."""
     return R.screen(occurrences(spark, sf)).groupBy("rule", "state").agg(F.count("*").alias("n"))
 
 
+@query("rule-31 rule-36 rule-37 rule-38 rule-39 rule-40 rule-41 MEC-02 MEC-10 MEC-12 MEC-14 X-22")
+def near_quotations(spark: SparkSession, sf: str) -> DataFrame:
+    """Quotations of documents that the document before in their source has in nearly the same words, with what differs (tested on its own)."""
+    d = beside_previous(table(spark, sf, "documents").select("doc_id", "source", "text"), "source", ["doc_id"], "doc_id", ["text"])
+    n = d.select("doc_id", F.explode(Q.near_matches(T.quotations(F.col("text"), first=1_000_000), F.col("previous_text"), F.lit(None).cast("string"))).alias("n"))
+    return n.select("doc_id", "n.quote", "n.similarity", "n.changed", "n.form_only")
+
+
 @query("A-13 A-14 F-25 O-05 SNK-11 ST-08")
 def ranked_questions(spark: SparkSession, sf: str) -> DataFrame:
     """Candidates with equal evidence as one question, most urgent rules first."""

@@ -10,7 +10,7 @@ from palimpsest.operators.editions import collapse_copies as collapse
 from palimpsest.operators.editions import similarity_to_previous as similarity
 from palimpsest.operators.neighbours import beside_previous
 from palimpsest.plans.registry import query
-from palimpsest.session import table
+from palimpsest.session import once, table
 
 _UNSEEN = r"[\s\p{Z}\x{1c}-\x{1f}\x{85}\x{21a9}\x{fe0e}\x{fe0f}]+"
 _SPACE = r"[\s\p{Z}]+"
@@ -95,14 +95,29 @@ def digit_stamps(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("capture_id", F.date_format(F.try_to_timestamp(F.rpad("captured_at", 14, "0"), F.lit("yyyyMMddHHmmss")), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("at"))
 
 
-_Q = "list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '“([^”]+)”', 1), lambda q: q), lambda q: len(regexp_split_to_array(trim(q), '\\s+')) BETWEEN 8 AND 300)"
+_T = "trim(regexp_replace(coalesce(text, ''), '(?i)\\[footnote\\s+\\d+\\]', '', 'g'))"
+_WHOLE = f"regexp_extract({_T}, '(?s)^(?:“(.+)”|‘(.+)’)', 0)"
+_Q = f"list_filter(list_transform(CASE WHEN {_WHOLE} <> '' THEN [{_WHOLE}] ELSE regexp_extract_all({_T}, '{T.QUOTED}') END, lambda q: substr(q, 2, length(q) - 2)), lambda q: len(regexp_split_to_array(trim(q), '\\s+')) BETWEEN 8 AND 300)"
 
 
 @query("X-21 rule-31", f"SELECT doc_id, len(list_distinct({_Q})) AS quotations FROM documents")
 def quotations(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct quotations of eight to three hundred words in each document, whatever marks they stand in."""
     return table(spark, sf, "documents").select("doc_id", F.size(T.quotations(F.col("text"), first=1_000_000)).cast("long").alias("quotations"))
 
 
+_HEADS = r"list_distinct(list_filter(list_transform(regexp_extract_all(coalesce(body, ''), '(?is)<h[1-6][^>]*>(.*?)</h[1-6]\s*>', 1), lambda h: lower(trim(regexp_replace(regexp_replace(h, '<[^>]*>', '', 'g'), '[\s\p{Z}]+', ' ', 'g')))), lambda h: h <> '' AND len(string_split_regex(h, '\s+')) <= 14))".replace("\\", "\\")
+_NOTE_REF = T.NOTE_REF.replace("'", "''")
+
+
+@query("MEC-03 MEC-04 MEC-05 MEC-07 MEC-15", f"SELECT edition_id, len({_HEADS}) AS headings, len(regexp_extract_all(coalesce(body, ''), '{_NOTE_REF}')) AS note_marks, regexp_matches(regexp_replace(coalesce(body, ''), '{_NOTE_REF}', ' ', 'g'), '(?i)\\[footnote') AS marks_left FROM (SELECT DISTINCT ON (edition_id) * FROM export_editions)")
+def comparison_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """What is left out of a body before quotations are compared: headings that stand once, marks of notes."""
+    e = once(table(spark, sf, "export_editions").select("edition_id", "body"), "edition_id")
+    body = F.coalesce("body", F.lit(""))
+    return e.select("edition_id", F.size(T.headings(F.col("body"))).cast("long").alias("headings"), F.size(F.regexp_extract_all(body, F.lit(T.NOTE_REF), F.lit(0))).cast("long").alias("note_marks"), T.without_notes(F.col("body")).rlike(r"(?i)\[footnote").alias("marks_left"))
+
+
 @query("X-25 X-11", "SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '(?i)\\bparagraphs?\\s+(\\d+(?:\\.\\d+)*)', 1)) AS paragraph FROM documents")
 def paragraph_references(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(?i)\bparagraphs?\s+(\d+(?:\.\d+)*)"), F.lit(1))).alias("paragraph"))
