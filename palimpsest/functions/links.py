@@ -9,6 +9,8 @@ HREF = r"""(?is)<a\b[^>]*?\shref\s*=\s*["']([^"']*)["']"""
 #: Words in the path of an error page, and hosts of parked domains (fixed values).
 ERROR_PATH = r"(?i)suspendedpage|/404\b|not-?found|page-?not-?found|error-?page|/expired"
 PARKED = r"(?i)(?:hugedomains|dan|sedo|afternic|bodis|parkingcrew)\.(?:com|net)$"
+#: Beginnings of the titles of pages that refuse or miss (fixed values).
+ERROR_TITLE = r"(?i)^(just a moment|access denied|attention required|robot check|human verification|403 forbidden|404(?:\D|$)|page not found|not found)"
 REFUSED = (401, 403, 429, 451)
 #: Query parameters that say nothing about the page (fixed values).
 VOLATILE = r"^(?:utm_\w+|ref|session|sid|fbclid|gclid)="
@@ -52,6 +54,26 @@ def soft_404(url: Column, final: Column) -> Column:
     return F.coalesce(F.concat(path(final), F.lit("?"), query_of(final)).rlike(ERROR_PATH) | host(final).rlike(PARKED) | home, F.lit(False))
 
 
+def source_quality(url: Column, final: Column, title: Column, status: Column) -> Column:
+    """redirect_needs_check, access_or_error_page, extracted, or the status: what a fetched page is worth, by address and title alone."""
+    bad = (final != url) & soft_404(url, final)
+    error = F.trim(F.coalesce(title, F.lit(""))).rlike(ERROR_TITLE)
+    return F.when(bad, "redirect_needs_check").when(error, "access_or_error_page").when(status == "saved", "extracted").otherwise(F.coalesce(status, F.lit("missing")))
+
+
+def host_kind(host: Column) -> Column:
+    """name (its addresses are the resolver's matter), public or private for a literal IPv4 address."""
+    octet = lambda i: F.nullif(F.regexp_extract(host, r"^(\d+)\.(\d+)\.(\d+)\.(\d+)", i), F.lit("")).try_cast("int")
+    a, b, c = (octet(i) for i in (1, 2, 3))
+    # ranges that aren't globally routed (fixed values)
+    private = (
+        a.isin(0, 10, 127) | (a >= 224) | ((a == 100) & b.between(64, 127)) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 192) & (b == 0) & c.isin(0, 2))
+        | ((a == 198) & b.isin(18, 19)) | ((a == 198) & (b == 51) & (c == 100)) | ((a == 203) & (b == 0) & (c == 113))
+    )
+    literal = host.rlike(r"^(?:\d{1,3}\.){3}\d{1,3}(?::\d+)?$") & (a <= 255) & (b <= 255) & (c <= 255)
+    return F.when((host == "localhost") | host.endswith(".localhost"), "private").when(~literal, "name").when(private, "private").otherwise("public")
+
+
 def link_status(code: Column, url: Column, final: Column, error: Column) -> Column:
     """The first that holds: unreachable, broken, restricted, server-error, broken (soft), moved, ok, other."""
     fine = code.between(200, 299)

@@ -112,6 +112,16 @@ def quotations(text: Column, least: int = 8, most: int = 300, first: int = 6) ->
     return F.slice(F.array_distinct(F.filter(inner, lambda q: n(q).between(least, most))), 1, first)
 
 
+def names_in(text: Column, names: Column) -> Column:
+    """The given names that stand in a text as whole words, in order, never overlapping; of names that begin at one place the longest. A final s may come or go."""
+    plain = F.transform(names, lambda n: collapsed(n))
+    known = F.array_sort(F.filter(plain, lambda n: F.length(n) >= 4), lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0))
+    quoted = F.transform(known, lambda n: F.concat(F.regexp_replace(F.regexp_replace(n, "s$", ""), r"([\\.\[\]{}()*+?^$|])", r"\\$1"), F.lit("s?")))
+    pattern = F.concat(F.lit(r"(?iU)(?<![\p{L}\p{N}])(?:"), F.array_join(quoted, "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    found = F.call_function("regexp_extract_all", collapsed(text), pattern, F.lit(0))
+    return F.when(F.size(known) == 0, F.array().cast("array<string>")).otherwise(F.transform(found, lambda m: F.lower(m)))
+
+
 def claim_text(text: Column) -> Column:
     """A claim without the number of its paragraph and the marks of its footnotes."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s*\d+(?:\.\d+)+\.?\s+", ""), r"(?i)\[footnote\s+\d+\]", ""))

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.functions.text import normal_key
+from palimpsest.operators.align import ratio
 from palimpsest.operators.neighbours import ranges, with_running_sum
 from palimpsest.session import checkpoint
 
@@ -149,21 +151,47 @@ def greedy_pairs(scored: DataFrame, block: str, a: str, b: str, score: str) -> D
     A pair that is the best of both its sides is one that the greedy order takes, whatever comes before it: such pairs are taken at once, what
     touches them falls away, and so on until no pair is left. No block is gathered in a task. Null scores come last.
     """
-    rest = scored.select(block, a, b, score).where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    rest, out = checkpoint(rest.withColumn("__block", F.struct(F.col(block)))), None
-    a_, b_ = F.struct(F.col("__block").alias("k"), F.col(a).alias("x")), F.struct(F.col("__block").alias("k"), F.col(b).alias("x"))
+    # the block is a struct, so a null block is a block
+    rest = scored.select(F.struct(F.col(block).alias("v")).alias("g"), F.col(a).alias("p"), F.col(b).alias("q"), F.col(score).alias("s")).where("p IS NOT NULL AND q IS NOT NULL")
+    rest, out = checkpoint(rest), None
     while rest.limit(1).count():
-        # ascending place: the first is the best
-        place = F.struct(F.when(F.col(score).isNull(), 1).otherwise(0).alias("none"), (-F.col(score)).alias("less"), F.col(a).alias("p"), F.col(b).alias("q"))
-        ranked = rest.withColumns({"__a": a_, "__b": b_, "__place": place})
-        best_a = ranked.groupBy("__a").agg(F.min("__place").alias("__ta"))
-        best_b = ranked.groupBy("__b").agg(F.min("__place").alias("__tb"))
-        mutual = ranked.join(best_a, "__a").join(best_b, "__b").where((F.col("__place") == F.col("__ta")) & (F.col("__place") == F.col("__tb")))
-        taken = checkpoint(mutual.select("__a", "__b", block, a, b, score).dropDuplicates(["__a", "__b"]))
+        # the least place is the best
+        place = F.struct(F.when(F.col("s").isNull(), 1).otherwise(0).alias("none"), (-F.col("s")).alias("less"), F.col("p").alias("x"), F.col("q").alias("y"))
+        ranked = rest.withColumn("place", place)
+        best_p, best_q = (ranked.groupBy("g", k).agg(F.min("place").alias(f"best_{k}")) for k in "pq")
+        mutual = ranked.join(best_p, ["g", "p"]).join(best_q, ["g", "q"]).where((F.col("place") == F.col("best_p")) & (F.col("place") == F.col("best_q")))
+        taken = checkpoint(mutual.select("g", "p", "q", "s").dropDuplicates(["g", "p", "q"]))
         out = taken if out is None else out.unionByName(taken)
-        left = ranked.join(taken.select("__a"), "__a", "left_anti").join(taken.select("__b"), "__b", "left_anti")
-        rest = checkpoint(left.select(block, a, b, score, "__block"))
-    return (out if out is not None else rest).select(block, a, b, score)
+        rest = checkpoint(rest.join(taken.select("g", "p"), ["g", "p"], "left_anti").join(taken.select("g", "q"), ["g", "q"], "left_anti").select("g", "p", "q", "s"))
+    return (out if out is not None else rest).select(F.col("g.v").alias(block), F.col("p").alias(a), F.col("q").alias(b), F.col("s").alias(score))
+
+
+def paired_by_title(left: DataFrame, right: DataFrame, block: str, key: str, title: str) -> DataFrame:
+    """`key`, `twin`, `by` (title, likeness): rows of two sides of a block paired one to one.
+
+    Rows of equal normalised titles are paired first, in the order of their keys. What is left is paired title by title, likest first: titles that
+    state a month need the same month and a likeness of 0.6, others 0.9. Each title is compared once; rows of two paired titles are then
+    paired in the order of their keys.
+    """
+    norm = normal_key(F.regexp_replace(title, r"(?i)\(accessible[^)]*\)", ""))
+    month = F.nullif(F.lower(F.regexp_extract(title, r"(?i)\b((?:january|february|march|april|may|june|july|august|september|october|november|december)\s+\d{4})\b", 1)), F.lit(""))
+
+    def ordered(df: DataFrame, names: dict[str, str], by: list[str]) -> DataFrame:
+        return df.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy("__key"))).withColumnsRenamed(names)
+
+    sides = [df.select(F.col(block).alias("__block"), F.col(key).alias("__key"), norm.alias("__title"), month.alias("__month")) for df in (left, right)]
+    a, b = (ordered(s, {}, ["__block", "__title"]) for s in sides)
+    exact = checkpoint(a.withColumnRenamed("__key", "x").join(b.select("__block", "__title", "__n", F.col("__key").alias("y")), ["__block", "__title", "__n"]).select("x", "y"))
+    rest = [s.join(exact.select(F.col(c).alias("__key")), "__key", "left_anti") for s, c in zip(sides, "xy", strict=True)]
+    titles = [r.groupBy("__block", "__title").agg(F.min("__month").alias("__month")) for r in rest]
+    j = titles[0].join(titles[1].select(F.col("__block").alias("__block2"), F.col("__title").alias("__title2"), F.col("__month").alias("__month2")), F.col("__block") == F.col("__block2"))
+    dated = F.col("__month").isNotNull() & F.col("__month2").isNotNull()
+    j = j.where(~dated | (F.col("__month") == F.col("__month2"))).withColumn("__like", ratio(F.col("__title"), F.col("__title2"))).where(F.col("__like") >= F.when(dated, 0.6).otherwise(0.9))
+    likest = greedy_pairs(j, "__block", "__title", "__title2", "__like").select("__block", "__title", "__title2")
+    c, d = (ordered(r, {}, ["__block", "__title"]) for r in rest)
+    near = c.withColumnRenamed("__key", "x").join(likest, ["__block", "__title"]).join(d.select("__block", F.col("__title").alias("__title2"), "__n", F.col("__key").alias("y")), ["__block", "__title2", "__n"]).select("x", "y")
+    both = exact.withColumn("by", F.lit("title")).unionByName(near.withColumn("by", F.lit("likeness")))
+    return both.select(F.col("x").alias(key), F.col("y").alias("twin"), "by")
 
 
 def last_per_key(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:

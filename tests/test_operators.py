@@ -143,6 +143,31 @@ def test_greedy_and_unique(spark):
     assert [tuple(x) for x in q.collect()] == [(1, 5.0, 9.0)]
 
 
+def test_paired_by_title(spark):
+    left = [(1, "n", "Note on land, May 2020"), (2, "n", "Note on land, May 2020"), (3, "n", "Prison rules, June 2021"), (4, "n", "Prison rules, July 2021"), (5, "m", "Plain words of a title"), (6, "m", None), (7, None, "x y z")]
+    right = [(11, "n", "note on LAND: may 2020 (accessible version)"), (12, "n", "Prison rule, June 2021"), (13, "n", "Wholly other, July 2021"), (14, "m", "Plain words of a titles"), (15, "m", "Plain title")]
+    a, b = (spark.createDataFrame(x, "id long, g string, t string") for x in (left, right))
+    got = sorted(map(tuple, R.paired_by_title(a.where("t IS NOT NULL"), b, "g", "id", "t").collect()))
+    assert got == [(1, 11, "title"), (3, 12, "likeness"), (5, 14, "likeness")]
+    assert R.paired_by_title(a.limit(0), b, "g", "id", "t").count() == 0
+
+
+def test_names_and_readings(spark):
+    from palimpsest.functions import links as L
+    from palimpsest.functions import text as T
+
+    one = spark.createDataFrame([("Updated Country information and assessments, not the overassessment; see General (part a).", ["Assessment", "Country information", "Country", "General (part a)", "x"])], "t string, n array<string>")
+    assert one.select(T.names_in(F.col("t"), F.col("n"))).first()[0] == ["country information", "assessments", "general (part a)"]
+    assert one.select(T.names_in(F.col("t"), F.array().cast("array<string>"))).first()[0] == []
+    r = A.readings(F.lit("Left[3] the town¹\n 12 \nBack to contents\nearly [footnote 4] on"))
+    got = one.select(*[T.words(r[k]).alias(k) for k in r]).first()
+    assert got.plain[:2] == ["left", "3"] and got.flow == ["left", "the", "town", "early", "on"] and "12" in got.without_marks
+    pages = F.transform(F.array(F.lit("a b"), F.lit("x y z"), F.lit("y z")), lambda p: F.concat(F.lit(" "), p, F.lit(" ")))
+    assert tuple(one.select(A.page_of(pages, F.lit(" y z ")), A.page_of(pages, F.lit(" y "))).first()) == (2, 2) and one.select(A.page_of(pages, F.lit(" q "))).first()[0] is None
+    hosts = spark.createDataFrame([("10.1.2.3", "private"), ("8.8.8.8", "public"), ("172.15.0.1", "public"), ("172.16.0.1", "private"), ("a.example", "name"), ("999.1.1.1", "name"), ("localhost", "private"), ("192.168.0.1:80", "private")], "h string, k string")
+    assert all(r.h_kind == r.k for r in hosts.withColumn("h_kind", L.host_kind(F.col("h"))).collect())
+
+
 def test_state(spark):
     old = spark.createDataFrame([("a", 1, "x"), ("b", 5, "y"), ("c", 2, None)], "k string, at int, value string")
     new = spark.createDataFrame([("b", 4, "z"), ("c", 3, None), ("d", 1, "n")], "k string, at int, value string")
