@@ -56,6 +56,8 @@ def editions_claims(spark: SparkSession, sf: str) -> DataFrame:
         "labels": F.transform(F.sequence(F.lit(1), F.size("page_texts")), lambda i: i.cast("string")),
         "bib_dates": F.flatten(F.transform(F.regexp_extract_all(F.coalesce("content", F.lit("")), F.lit(r'(?is)<li id="fn:[^"]+"[^>]*>(.*?)</li\s*>'), F.lit(1)), T.dates)),
     })
+    # of the whole source: once an edition, not once a paragraph
+    p = p.withColumns({"same_reading": T.normal_key(F.col("doc")) == T.normal_key(F.col("second")), "intact": F.sha2("content", 256) == F.col("receipt_sha")})
     b = p.select("*", F.posexplode("blocks").alias("pos", "block"))
     refs = F.regexp_extract_all("block", F.lit(r'href="#(fn:[^"]+)"'), F.lit(1))
     b = b.withColumns({"refs": refs, "targets": F.filter("all_ids", lambda x: x.startswith("fn:"))}).where(~F.col("block").rlike(r'^<li id="fn:'))
