@@ -32,6 +32,15 @@ def decoded(text: Column) -> Column:
     return F.pandas_udf(_decoded, "string")(text)
 
 
+def _decoded_all(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda a: None if a is None else [unescape(t) for t in a])
+
+
+def decoded_all(texts: Column) -> Column:
+    """As `decoded`, of an array of texts."""
+    return F.pandas_udf(_decoded_all, "array<string>")(texts)
+
+
 def visible_text(html: Column) -> Column:
     """Text that a reader sees, with white space collapsed; '' for null."""
     return F.coalesce(collapsed(decoded(without_markup(html))), F.lit(""))

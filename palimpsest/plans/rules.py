@@ -56,19 +56,23 @@ def editions_claims(spark: SparkSession, sf: str) -> DataFrame:
         "labels": F.transform(F.sequence(F.lit(1), F.size("page_texts")), lambda i: i.cast("string")),
         "bib_dates": F.flatten(F.transform(F.regexp_extract_all(F.coalesce("content", F.lit("")), F.lit(r'(?is)<li id="fn:[^"]+"[^>]*>(.*?)</li\s*>'), F.lit(1)), T.dates)),
     })
+    d = table(spark, sf, "repository_downloads")
+    first = d.groupBy(F.col("note").alias("n")).agg(F.min_by(F.struct("original_url", "url", "status", "pages", "downloaded_at"), "download_id").alias("r"))
+    # before the paragraphs are taken apart: texts move once
+    p = p.join(first, F.col("note") == F.col("n"), "left")
     # of the whole source: once an edition, not once a paragraph
     p = p.withColumns({"same_reading": T.normal_key(F.col("doc")) == T.normal_key(F.col("second")), "intact": F.sha2("content", 256) == F.col("receipt_sha")})
-    b = p.select("*", F.posexplode("blocks").alias("pos", "block"))
+    # entities are decoded by edition: rows with whole texts go through Python once, not once a paragraph
+    p = p.withColumns({"block_texts": T.decoded_all(F.transform("blocks", lambda x: T.without_markup(x))), "note_texts": T.decoded_all(F.transform("notes", lambda x: T.without_markup(F.replace(x, F.lit("↩"), F.lit("")))))})
+    p = p.withColumn("parts", F.arrays_zip(F.col("blocks").alias("block"), F.col("block_texts").alias("said"))).drop("blocks", "block_texts")
+    b = p.select("*", F.posexplode("parts").alias("pos", "part")).drop("parts").select("*", "part.block", "part.said").drop("part")
     refs = F.regexp_extract_all("block", F.lit(r'href="#(fn:[^"]+)"'), F.lit(1))
     b = b.withColumns({"refs": refs, "targets": F.filter("all_ids", lambda x: x.startswith("fn:"))}).where(~F.col("block").rlike(r'^<li id="fn:'))
-    mine = F.get(F.filter("notes", lambda x: x.startswith(F.concat(F.lit('<li id="'), F.get(F.col("refs"), 0), F.lit('"')))), 0)
-    b = b.withColumns({"claim": T.claim_text(T.visible_text(F.col("block"))), "cite": T.visible_text(F.regexp_replace(mine, "↩", "")), "occurrence": F.lit(OF_EDITIONS) + F.col("edition_id") * 10_000 + F.col("pos")})
+    mine = F.get(F.filter("note_texts", lambda x, i: F.get("notes", i).startswith(F.concat(F.lit('<li id="'), F.get(F.col("refs"), 0), F.lit('"')))), 0)
+    b = b.withColumns({"claim": T.claim_text(T.collapsed(F.col("said"))), "cite": F.coalesce(T.collapsed(mine), F.lit("")), "occurrence": F.lit(OF_EDITIONS) + F.col("edition_id") * 10_000 + F.col("pos")})
     b = b.withColumn("cite", F.nullif("cite", F.lit("")))
-    d = table(spark, sf, "repository_downloads")
-    first = d.groupBy(F.col("note").alias("n")).agg(F.min_by(F.struct("original_url", "url", "status", "pages", "downloaded_at"), "download_id").alias("r"))
-    j = b.join(first, F.col("note") == F.col("n"), "left")
     status = F.when(F.col("r.status") == "saved", "downloaded").otherwise(F.col("r.status"))
-    return complete(j.withColumns({
+    return complete(b.withColumns({
         "url": F.col("r.original_url"), "href": F.col("r.original_url"), "final_url": F.col("r.url"), "status": status, "pages": F.coalesce("r.pages", F.size("page_texts")), "fetched_at": F.col("r.downloaded_at"),
         "kind": F.when(F.lower("r.original_url").rlike(r"\.pdf$"), "pdf").otherwise("html"), "bib_urls": F.when(F.col("r").isNotNull(), F.array("r.original_url")),
     }))
