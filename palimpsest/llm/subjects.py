@@ -7,8 +7,8 @@ seeded alternating multiplicative updates for the Kullback-Leibler divergence, w
 * on labelled examples, a row for each of them, a mixture may hold its own subject and the background, a subject's component only words of
   its own examples, and the background only words that several subjects share, so that it can't take a language of one subject;
 * on the corpus, a row for each document, components go on from there. Numerators of the update are summed within partitions, then by word.
-  A word that isn't telling yet follows the other words of its sentences: its numerators are its sentences' weights by component. After a
-  round, words that one subject holds are telling, and words that several hold are not.
+  A word that isn't telling yet follows the other words of its sentences: its numerators are its sentences' weights by component. After the
+  first round, words that one subject holds are telling, and words that several hold are not; later rounds move weights only.
 
 The corpus is read and split into words once; the matrix is a written table of word hashes, and each round is arithmetic on arrays. The fit on
 examples sees at most MOST_SAMPLES rows (by smallest hash); all else covers every document. A telling word has at least 1 / RAREST of all
@@ -23,6 +23,7 @@ no document has a subject; equal shares all count.
 from __future__ import annotations
 
 import re
+from array import array
 from html import unescape
 
 import numpy as np
@@ -151,35 +152,67 @@ class Entries:
         order = np.argsort(sent, kind="stable")
         self.sentence = sent[order]
         self.column = np.concatenate((col, np.full(len(none), len(columns))))[order]
-        self.value = 1.0 / np.maximum(count[self.sentence], 1)
+        self.value = (1.0 / np.maximum(count[self.sentence], 1)).astype(np.float32)
         self.row = self.sentence_row[self.sentence]
 
 
+def _starts(x: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.zeros(0, np.int64)
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Distinct values in order, by sorting: several times faster here than by hashing."""
+    s = np.sort(x)
+    return s[_starts(s)]
+
+
+def _sums(part: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of `part` by the ascending numbers `at`, as n rows."""
+    out = np.zeros((n, part.shape[1]), part.dtype)
+    if len(at):
+        first = _starts(at)
+        out[at[first]] = np.add.reduceat(part, first, axis=0)
+    return out
+
+
 def folded(e: Entries, h: np.ndarray, rounds: int = FOLD_ROUNDS) -> np.ndarray:
     """Mixtures of the rows by multiplicative updates with the components fixed; a row's mixture sums to its sentences."""
-    hk = h.T[e.column]
-    w = np.ones((e.rows, h.shape[0]))
-    for _ in range(rounds):
-        g = hk * (e.value / np.maximum((hk * w[e.row]).sum(1), 1e-12))[:, None]
-        w *= np.stack([np.bincount(e.row, g[:, k], e.rows) for k in range(h.shape[0])], axis=1)
+    # cells of the matrix: a row's entries of one column together
+    code = e.row * h.shape[1] + e.column
+    order = np.argsort(code, kind="stable")
+    first = _starts(code[order])
+    value = np.add.reduceat(e.value[order], first) if len(first) else e.value
+    row, col = e.row[order][first], e.column[order][first]
+    hk, begin = h.T.astype(np.float32)[col], _starts(row)
+    w = np.ones((e.rows, h.shape[0]), np.float32)
+    some = row[begin]
+    for _ in range(rounds if len(row) else 0):
+        g = hk * (value / np.maximum(np.einsum("ij,ij->i", hk, w[row]), 1e-12))[:, None]
+        w[some] *= np.add.reduceat(g, begin, axis=0)
+    w[np.bincount(row, minlength=e.rows) == 0] = 0
     return w
 
 
-def numerators(e: Entries, w: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word hashes, their numerators by component, weights of all sentences by component) of one update of the components.
+def numerators(e: Entries, w: np.ndarray, h: np.ndarray, others: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word hashes, their numerators by component, weights of telling words by component) of one update of the components.
 
-    A telling word's are those of the update, H x (W' V / WH). Another word's are the weights of the sentences it stands in, once for each.
+    A telling word's are those of the update, H x (W' V / WH). Another word's are the weights of the sentences it stands in, once for each; they
+    are left out unless `others`.
     """
-    part = h.T[e.column] * w[e.row]
+    part = h.T.astype(np.float32)[e.column] * w[e.row].astype(np.float32)
     part *= (e.value / np.maximum(part.sum(1), 1e-12))[:, None]
-    by_sentence = np.stack([np.bincount(e.sentence, part[:, k], len(e.sentence_row)) for k in range(h.shape[0])], axis=1) if len(part) else np.zeros((len(e.sentence_row), h.shape[0]))
-    other = ~e.telling
+    order = np.argsort(e.column, kind="stable")
+    own = _sums(part[order].astype(np.float64), e.column[order], h.shape[1])
+    if not others:
+        return np.zeros(0, np.int64), np.zeros((0, h.shape[0])), own
+    by_sentence = _sums(part, e.sentence, len(e.sentence_row))
+    rest = ~e.telling
+    names = _distinct(e.words[rest])
     # each word once a sentence
-    pair = np.unique(np.stack((e.words[other], e.word_sentence[other])), axis=1)
-    names, at = np.unique(pair[0], return_inverse=True)
-    more = np.stack([np.bincount(at, by_sentence[pair[1], k], len(names)) for k in range(h.shape[0])], axis=1)
-    own = np.stack([np.bincount(e.column, part[:, k], h.shape[1]) for k in range(h.shape[0])], axis=1)
-    return names, more, own
+    n = max(len(e.sentence_row), 1)
+    code = _distinct(np.searchsorted(names, e.words[rest]) * n + e.word_sentence[rest])
+    return names, _sums(by_sentence[code % n], code // n, len(names)).astype(np.float64), own
 
 
 def entries(texts: list[str | None], columns: np.ndarray, known: Tokens) -> Entries:
@@ -238,8 +271,15 @@ def matrix(docs: DataFrame) -> DataFrame:
     def run(batches):
         known = Tokens()
         for b in batches:
-            rows = [sentences(t, known) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.list_(pa.int64())), pa.array([r[1] for r in rows], pa.list_(pa.int32()))], ["k", "words", "ends"])
+            flat, stops, cuts = array("q"), array("i"), [(0, 0)]
+            for t in b.column(1).to_pylist():
+                hashes, ends = sentences(t, known)
+                flat.extend(hashes)
+                stops.extend(ends)
+                cuts.append((len(flat), len(stops)))
+            at = np.array(cuts, np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(at[:, i]), pa.array(np.frombuffer(x, d))) for i, (x, d) in enumerate(((flat, np.int64), (stops, np.int32)))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *lists], ["k", "words", "ends"])
 
     return docs.mapInArrow(run, MATRIX)
 
@@ -252,8 +292,8 @@ def _entries(b: pa.RecordBatch, columns: np.ndarray) -> Entries:
     return Entries(hashes, [flat[a:z] for a, z in zip(cuts[:-1], cuts[1:], strict=True)], columns)
 
 
-def updated(m: Model, rows: DataFrame) -> Model:
-    """The model after one update of the components over all rows of the matrix."""
+def updated(m: Model, rows: DataFrame, others: bool = True) -> Model:
+    """The model after one update of the components over all rows of the matrix. `others`: words that aren't telling may become so."""
     spark = rows.sparkSession
     k = len(m.subjects)
     h = m.h.copy()
@@ -271,13 +311,14 @@ def updated(m: Model, rows: DataFrame) -> Model:
             return pa.RecordBatch.from_arrays([pa.array(x), *[pa.array(np.ascontiguousarray(c[:, i])) for i in range(k + 1)]], schema=schema)
 
         def merged():
-            x, at = np.unique(np.concatenate([a for a, _ in held]), return_inverse=True)
-            c = np.concatenate([c for _, c in held])
-            return x, np.stack([np.bincount(at, c[:, i], len(x)) for i in range(k + 1)], axis=1)
+            x, c = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+            order = np.argsort(x, kind="stable")
+            names = _distinct(x)
+            return names, _sums(c[order], np.searchsorted(names, x[order]), len(names))
 
         for b in batches:
             e = _entries(b, m.columns)
-            x, c, o = numerators(e, folded(e, m.h), m.h)
+            x, c, o = numerators(e, folded(e, m.h), m.h, others)
             own += o
             held.append((x, c))
             if sum(len(a) for a, _ in held) > 1_000_000:
@@ -328,8 +369,8 @@ def subject_shares(docs: DataFrame, samples: DataFrame, key: str = "doc_id", tex
     if not m.subjects:
         return src.where("false").select(F.col("k").alias(key), F.lit("").alias("subject"), F.lit(0.0).alias("share"))
     rows = written(matrix(src), "subject-matrix")
-    for _ in range(CORPUS_ROUNDS):
-        m = updated(m, rows)
+    for i in range(CORPUS_ROUNDS):
+        m = updated(m, rows, others=i == 0)
     shared = docs.sparkSession.sparkContext.broadcast(m)
 
     def run(batches):
