@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -55,12 +54,6 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets the context cleaner delete the shuffle files of finished steps, which otherwise stay until the driver happens to collect garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def spread(df: DataFrame) -> DataFrame:
     """At least one partition a core: a table in one small file would otherwise keep all but one core idle."""
     want = df.sparkSession.sparkContext.defaultParallelism

@@ -15,6 +15,10 @@ QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
 
 
+#: Queries without SQL that find nothing in the test tables; their operators are tested on made-up rows.
+MAY_BE_EMPTY: set[str] = {"paragraph_map", "near_quotations"}
+
+
 def plain(v):
     if isinstance(v, (float, decimal.Decimal)):
         return f"{float(v):.6g}"
@@ -25,8 +29,7 @@ def plain(v):
     return str(v)
 
 
-@pytest.fixture(scope="module")
-def con(sf):
+def connected(sf):
     c = duckdb.connect()
     c.execute("SET TimeZone='UTC'")
     for f in glob.glob(f"{sf}/*.parquet"):
@@ -34,23 +37,35 @@ def con(sf):
     return c
 
 
+@pytest.fixture(scope="module")
+def folders(sf):
+    """The tables and, for queries that find nothing in them, those of ten times the scale."""
+    return [(f, connected(f)) for f in dict.fromkeys((sf, sf.replace("sf0.001", "sf0.01")))]
+
+
 @pytest.mark.parametrize("name", sorted(SQL))
-def test_equals_sql(spark, sf, con, name):
-    df = QUERIES[name](spark, sf)
-    cols = sorted(df.columns)
-    got = sorted(tuple(plain(v) for v in r) for r in df.select(*[f"`{c}`" for c in cols]).collect())
-    res = con.execute(SQL[name])
-    names = [d[0] for d in res.description]
-    assert sorted(names) == cols
-    at = [names.index(c) for c in cols]
-    want = sorted(tuple(plain(r[i]) for i in at) for r in res.fetchall())
-    assert got == want
+def test_equals_sql(spark, folders, name):
+    got = []
+    for sf, con in folders:
+        df = QUERIES[name](spark, sf)
+        cols = sorted(df.columns)
+        got = sorted(tuple(plain(v) for v in r) for r in df.select(*[f"`{c}`" for c in cols]).collect())
+        res = con.execute(SQL[name])
+        names = [d[0] for d in res.description]
+        assert sorted(names) == cols
+        at = [names.index(c) for c in cols]
+        want = sorted(tuple(plain(r[i]) for i in at) for r in res.fetchall())
+        assert got == want
+        if got:
+            break
+    assert got, "empty was compared with empty"
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, sf, name):
     df = QUERIES[name](spark, sf)
-    assert df.columns and df.count() >= 0
+    rows = df.collect()
+    assert df.columns and (rows or name in MAY_BE_EMPTY) and len({repr(r) for r in rows}) == len(rows)
 
 
 def test_text_equals_the_tables_own_columns(spark, sf):
