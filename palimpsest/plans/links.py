@@ -101,31 +101,32 @@ def failures_of_every_country(spark: SparkSession, sf: str) -> DataFrame:
     return c.join(n, "country", "left").select("country", F.coalesce("failed", F.lit(0)).alias("failed"))
 
 
-_LITERAL = [
-    ("https://a.example/x", "https://a.example/x", 200, None), ("https://a.example/x", "http://www.a.example/X/", 200, None), ("https://a.example/x", "https://b.example/x", 200, None), ("https://a.example/deep/page", "https://a.example/", 200, None),
-    ("https://a.example/en", "https://a.example/", 200, None), ("https://a.example/x", "https://a.example/page-not-found", 200, None), ("https://a.example/x", "https://www.sedo.com/y", 200, None), ("https://a.example/x", None, 404, None),
-    ("https://a.example/x", None, 410, None), ("https://a.example/x", None, 403, None), ("https://a.example/x", None, 503, None), ("https://a.example/x", None, None, "timeout"), ("https://a.example/x", None, 301, None), ("https://a.example/x", None, 200, None), ("https://a.example/x", "https://a.example/404", 200, "reset"),
-]
-_VALUES = ", ".join("(" + ", ".join("NULL" if v is None else repr(v) for v in r) + ")" for r in _LITERAL)
+#: Downloads as outcomes of every kind: what came back, where and with which code, is dealt out by their ids.
+_CASES = """SELECT download_id, original_url AS url, CASE download_id % 6 WHEN 0 THEN original_url WHEN 1 THEN url WHEN 2 THEN regexp_replace(original_url, '^(https?://[^/]*).*$', '{back}1/') WHEN 3 THEN upper(replace(original_url, 'https://', 'https://www.')) WHEN 4 THEN concat(url, '/page-not-found') END AS final,
+  CASE download_id % 9 WHEN 0 THEN 404 WHEN 1 THEN 410 WHEN 2 THEN 403 WHEN 3 THEN 503 WHEN 4 THEN 301 ELSE 200 END AS code, CASE WHEN download_id % 11 = 0 THEN 'timeout' WHEN download_id % 11 = 1 THEN '' END AS error FROM {source}"""
+
+
 _FP, _UP = _PATH.format("coalesce(final, '')"), _PATH.format("url")
 
 
 @query("F-02 F-03 F-04 F-15 M-14", f"""
-SELECT url, final, code, error, CASE WHEN error <> '' THEN 'unreachable' WHEN code IN (404, 410) THEN 'broken' WHEN code IN (401, 403, 429, 451) THEN 'restricted' WHEN code >= 500 THEN 'server-error'
+SELECT download_id, CASE WHEN error <> '' THEN 'unreachable' WHEN code IN (404, 410) THEN 'broken' WHEN code IN (401, 403, 429, 451) THEN 'restricted' WHEN code >= 500 THEN 'server-error'
   WHEN code BETWEEN 200 AND 299 THEN CASE WHEN final IS NULL THEN 'ok'
     WHEN regexp_matches({_FP} || '?' || regexp_extract(final, '^[^?#]*\\?([^#]*)', 1), '(?i)suspendedpage|/404\\b|not-?found|error-?page|/expired') OR regexp_matches({_HOST.format('final')}, '(?:hugedomains|dan|sedo|afternic|bodis|parkingcrew)\\.(?:com|net)$')
       OR (trim({_FP}, '/') = '' AND trim({_UP}, '/') NOT IN ('', 'index.html', 'index.htm', 'en')) THEN 'broken'
     WHEN regexp_replace({_HOST.format('url')}, '^www\\.', '') <> regexp_replace({_HOST.format('final')}, '^www\\.', '') OR lower(rtrim({_UP}, '/')) <> lower(rtrim({_FP}, '/')) THEN 'moved' ELSE 'ok' END ELSE 'other' END AS state
-FROM (VALUES {_VALUES}) t(url, final, code, error)""")
+FROM ({_CASES.format(back=chr(92), source='(SELECT DISTINCT download_id, original_url, url FROM repository_downloads)')}) t""")
 def link_status_cases(spark: SparkSession, sf: str) -> DataFrame:
-    """One address for each outcome."""
-    d = spark.createDataFrame(_LITERAL, "url string, final string, code int, error string")
-    return d.withColumn("state", L.link_status(F.col("code"), F.col("url"), F.col("final"), F.col("error")))
+    """The status of every outcome, the first that holds."""
+    d = spark.sql(_CASES.format(back="$", source="{d}"), d=table(spark, sf, "repository_downloads").select("download_id", "original_url", "url").distinct())
+    return d.select("download_id", L.link_status(F.col("code"), F.col("url"), F.col("final"), F.col("error")).alias("state"))
 
 
-_VOL = ["https://a.example/p?utm_source=x&id=3#top", "https://a.example/p?ref=1", "https://a.example/p", "https://a.example/p?id=1&page=2", "https://a.example/p?&utm_medium=a&q="]
+_VOL = "SELECT DISTINCT download_id, concat(url, CASE download_id % 4 WHEN 0 THEN '?utm_source=x&id=3#top' WHEN 1 THEN '?ref=1' WHEN 2 THEN concat('?&utm_medium=a&page=', download_id) ELSE '' END) AS u FROM {source}"
 
 
-@query("F-20", "SELECT u, regexp_extract(u, '^([^?#]*)', 1) || CASE WHEN k = '' THEN '' ELSE '?' || k END AS stable FROM (SELECT u, array_to_string(list_filter(string_split(regexp_extract(u, '^[^?#]*\\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(?:utm_\\w+|ref|session|sid|fbclid|gclid)=')), '&') AS k FROM (VALUES " + ", ".join(f"('{u}')" for u in _VOL) + ") t(u))")
+@query("F-20", "SELECT download_id, regexp_extract(u, '^([^?#]*)', 1) || CASE WHEN k = '' THEN '' ELSE '?' || k END AS stable FROM (SELECT download_id, u, array_to_string(list_filter(string_split(regexp_extract(u, '^[^?#]*\\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(?:utm_\\w+|ref|session|sid|fbclid|gclid)=')), '&') AS k FROM (" + _VOL.format(source="repository_downloads") + ") t)")
 def stable_urls(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame([(u,) for u in _VOL], "u string").select("u", L.stable_url(F.col("u")).alias("stable"))
+    """Addresses without query parameters that say nothing about the page."""
+    d = spark.sql(_VOL.format(source="{d}"), d=table(spark, sf, "repository_downloads"))
+    return d.select("download_id", L.stable_url(F.col("u")).alias("stable"))
