@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from palimpsest.session import written
 
 ROWS_A_RANGE = 500_000
+#: Rows with whole texts in a partition.
+WIDE_ROWS = 50_000
 
 
 def ranges(df: DataFrame, series: str, order: list[str], take: list[str], partitions: int | None = None) -> DataFrame:
@@ -57,6 +59,10 @@ def beside_previous(df: DataFrame, series: str, order: list[str], key: str, colu
     """
     pairs = with_previous(ranges(df, series, order, [key], partitions), series, order, [key]).select(F.col(key).alias("__key"), F.col(f"previous_{key}").alias("previous"))
     own = df.select(F.col(key), *columns)
-    before = df.select(F.col(key).alias("__before"), *[F.col(c).alias(f"previous_{c}") for c in columns])
+    # as many partitions as rows need, not as few as their bytes allow: what follows is work on whole texts. First rows of series have no row before
+    # them; their own key deals them out.
+    n = max(df.sparkSession.sparkContext.defaultParallelism, pairs.count() // WIDE_ROWS + 1)
+    before = df.select(F.xxhash64(key).alias("__h"), F.col(key).alias("__before"), *[F.col(c).alias(f"previous_{c}") for c in columns]).repartition(n, "__h")
     x = own.join(pairs, F.col(key) == F.col("__key")).drop("__key")
-    return x.join(before, F.col("previous") == F.col("__before"), "left").drop("__before")
+    x = x.withColumn("__at", F.when(F.col("previous").isNotNull(), F.xxhash64("previous")).otherwise(F.xxhash64(key, F.lit(1)))).repartition(n, "__at")
+    return x.join(before, (F.col("__at") == F.col("__h")) & (F.col("previous") == F.col("__before")), "left").drop("__before", "__h", "__at")

@@ -10,7 +10,7 @@ from palimpsest.functions.text import gram_hashes, words
 from palimpsest.operators import align as A
 from palimpsest.operators.neighbours import beside_previous
 from palimpsest.plans.registry import query
-from palimpsest.session import once, table
+from palimpsest.session import once, spread, table
 
 _P = "(SELECT doc_id, text, lag(text) OVER (PARTITION BY source ORDER BY doc_id) AS before FROM documents)"
 _W = "regexp_extract_all(lower(coalesce({0}, '')), '[\\p{{L}}\\p{{N}}]+')"
@@ -24,7 +24,7 @@ def doc_pairs(spark: SparkSession, sf: str, *columns: Column) -> DataFrame:
 
 def edition_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Every edition with the one before it of its note: `edition_id`, `body`, `before`."""
-    e = once(table(spark, sf, "export_editions").select("edition_id", "note", "first_seen", "body"), "edition_id")
+    e = once(spread(table(spark, sf, "export_editions").select("edition_id", "note", "first_seen", "body")), "edition_id")
     p = beside_previous(e, "note", ["first_seen", "edition_id"], "edition_id", ["body"])
     return p.where("previous_body IS NOT NULL").select("edition_id", "body", F.col("previous_body").alias("before"))
 

@@ -10,7 +10,7 @@ from palimpsest.operators import quotes as Q
 from palimpsest.operators import rules as R
 from palimpsest.operators.neighbours import beside_previous
 from palimpsest.plans.registry import query
-from palimpsest.session import once, table
+from palimpsest.session import once, spread, table
 
 
 FIELDS = {f.split()[0]: f.split(None, 1)[1] for f in R.SCHEMA.replace("\n", " ").split(", ") if not f.strip().startswith(("similarity", "excerpt", "differences", "changed", "form_only", "figures_only", "attribution", "share", "marker", "agreed"))} | {"near": Q.NEAR}
@@ -40,7 +40,7 @@ def editions_claims(spark: SparkSession, sf: str) -> DataFrame:
     References and targets are those of its footnotes; the citation is the first footnote it refers to; the source is the edition of the note
     before it, read in two ways, by sections as pages, with the hash the table states; the receipt is the note's first download.
     """
-    e = once(table(spark, sf, "export_editions").select("edition_id", "note", "title", "first_seen", "sha256", "body"), "edition_id")
+    e = once(spread(table(spark, sf, "export_editions").select("edition_id", "note", "title", "first_seen", "sha256", "body")), "edition_id")
     p = beside_previous(e, "note", ["first_seen", "edition_id"], "edition_id", ["note", "title", "first_seen", "sha256", "body"])
     old = F.col("previous_body")
     seen = T.visible_text(F.regexp_replace(old, r"(?i)</?(?:p|li|h[1-6]|td|th|tr|div|section|ol|ul)\b[^>]*>", " "))
